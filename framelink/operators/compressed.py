@@ -46,8 +46,8 @@ def ancestors_of(edges: DataFrame, depth: int = 64) -> DataFrame:
     """Transitive closure of given edges (video, window_id, parent, child) by doubling, up to paths of `depth` steps."""
     out, reach = edges.select(*WINDOW, "parent", "child").distinct(), 1
     while reach < depth:
-        on = out.select(*WINDOW, F.col("parent").alias("mid"), F.col("child").alias("end"))
-        more = out.join(on, (out.video == on.video) & (out.window_id == on.window_id) & (out.child == on.mid)).select(out.video, out.window_id, "parent", F.col("end").alias("child"))
+        first, then = out.withColumnRenamed("child", "mid"), out.withColumnRenamed("parent", "mid")
+        more = first.join(then, [*WINDOW, "mid"]).select(*WINDOW, "parent", "child")
         grown = out.unionByName(more).distinct()
         if grown.count() == out.count():
             return out
