@@ -1,18 +1,20 @@
 """N-gram Jaccard join: size-aware heavy-light join over sets of five-word shingles.
 
 1. Every text becomes its set of distinct shingle hashes. Sets are dealt out in packed form, by hash
-   range, once; each range counts in how many different sets a shingle occurs and gives back only
-   those that occur in two or more. Equal sets count once, so exact copies cost one set.
-2. A set can only have a partner if enough of its shingles came back. Those sets are kept whole.
-   All of them order shingles by (document frequency, hash), so a pair at the threshold shares one
-   shingle among the first |A| - need + 1 of each, and two among one more.
+   range, once; each range counts in how many texts a shingle occurs (copies in one batch of texts
+   count once) and answers with those that occur in two or more.
+2. A set can only have a partner if enough of its shingles came back. Those sets are kept whole, one
+   for all equal sets. They order shingles by (frequency, hash), so a pair at the threshold shares
+   one shingle among the first |A| - need + 1 of each, and two among one more.
 3. Light sets enumerate the two-element subsets of that longer prefix and meet on equal subsets;
    heavy sets scan the inverted lists of single shingles. The boundary between them is the size
    at which the summed costs, by size class over all sets, are least.
 4. On each list the sets are first compared with the most central one only. Links found so are
    merged to components, and then only sets of different components on a list are compared, each
    against the others than the list's largest component. Links inside a component can't change it,
-   so no link is lost and a group of near copies isn't expanded to its pairs.
+   so no link is lost and a group of near copies isn't expanded to its pairs. The known overlaps
+   with the central set L bound those that remain: |A and B| <= min(|A and L|, |B and L|) +
+   min(|A - L|, |B - L|).
 
 Every candidate is verified on whole sets. Defined results: null, empty and wordless texts have no
 shingles and link with nothing; a row without doc_id has no result; repeated rows are exact copies;
@@ -23,6 +25,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -33,65 +36,94 @@ from .textnp import U, cells, chunks, distinct_shingles, set_keys
 PERCENT = 80
 
 
-def shingle_sets(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """doc_id, n (set size), key (16 bytes, equal for equal sets)."""
+PARTS = "bucket int, uid long, texts binary, counts binary, low binary, high binary, df binary, ids binary, sizes binary, keys binary"
+NAMES = [c.split()[0] for c in PARTS.split(", ")]
+BATCH = 3_000_000  # shingles that a task packs at once
 
-    def run(batches):
-        for b in batches:
-            for lo, hi in chunks(b.column(1)):
-                doc, h = distinct_shingles(b.column(1).slice(lo, hi - lo), size)
-                n, key = set_keys(doc, h, hi - lo)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), pa.array(n.astype(np.int32)), cells(key)], ["doc_id", "n", "key"])
 
-    return docs.mapInArrow(run, "doc_id long, n int, key binary")
+def _rows(rows: list[tuple]) -> list[pa.Array]:
+    return [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), [pa.int32(), pa.int64()] + [pa.binary()] * 8, strict=True)]
 
 
-def shared_shingles(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
-    """key, n, tok, df: of each different set, in parts, the shingles that two or more sets hold."""
+def shared_shingles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+    """doc_id, n (set size), key (16 bytes, equal for equal sets), tok, df of each row of docs (doc_id, text).
+
+    tok, df: the shingles that other texts have too; null if they are too few for a partner, and for
+    all but one of the equal sets in a batch.
+    """
     buckets = max(1, min(1 << 16, shuffle_partitions(docs.sparkSession)))
 
+    def packed(uid: int, parts: list[tuple]):
+        ids, n, key = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
+        before = np.cumsum([0, *(len(p[0]) for p in parts)])
+        text, h = np.concatenate([p[3] + b for p, b in zip(parts, before, strict=False)]), np.concatenate([p[4] for p in parts])
+        once = np.zeros(len(ids), bool)
+        once[np.unique(key.view("V16").ravel(), return_index=True)[1]] = True
+        text, h = text[once[text]], h[once[text]]
+        at = ((h >> U(48)) * U(buckets) >> U(16)).astype(np.uint16)
+        order = np.argsort(at, kind="stable")
+        at, text, h = at[order], text[order], h[order]
+        ends = np.searchsorted(at, np.arange(buckets + 1))
+        out = [(-1 - uid % buckets, uid, *[None] * 5, ids.tobytes(), n.astype(np.int32).tobytes(), key.tobytes())]
+        for k in np.flatnonzero(np.diff(ends)):
+            p = slice(ends[k], ends[k + 1])
+            first = np.flatnonzero(np.concatenate([[True], text[p][1:] != text[p][:-1]]))
+            out.append((int(k), uid, text[p][first].astype(np.uint32).tobytes(), np.diff(np.append(first, ends[k + 1] - ends[k])).astype(np.uint32).tobytes(), h[p].astype(np.uint32).tobytes(), (h[p] >> U(32)).astype(np.uint8).tobytes(), *[None] * 4))
+        return pa.RecordBatch.from_arrays(_rows(out), NAMES)
+
     def deal(batches):
-        names = ["bucket", "keys", "sizes", "counts", "low", "high"]
+        task, k, held, parts = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
             for lo, hi in chunks(b.column(1)):
-                doc, h = distinct_shingles(b.column(1).slice(lo, hi - lo), size)
-                n, key = set_keys(doc, h, hi - lo)
-                once = np.zeros(hi - lo, bool)
-                once[np.unique(key.view("V16").ravel(), return_index=True)[1]] = True
-                doc, h = doc[once[doc]], h[once[doc]]
-                at = ((h >> U(48)) * U(buckets) >> U(16)).astype(np.uint16)
-                order = np.argsort(at, kind="stable")
-                at, doc, h = at[order], doc[order], h[order]
-                ends = np.searchsorted(at, np.arange(buckets + 1))
-                out = []
-                for k in np.flatnonzero(np.diff(ends)):
-                    part = slice(ends[k], ends[k + 1])
-                    d, count = np.unique(doc[part], return_counts=True)
-                    out.append((int(k), key[d].tobytes(), n[d].astype(np.int32).tobytes(), count.astype(np.int32).tobytes(), h[part].astype(np.uint32).tobytes(), (h[part] >> U(32)).astype(np.uint16).tobytes()))
-                if out:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), [pa.int32()] + [pa.binary()] * 5, strict=True)], names)
+                text, h = distinct_shingles(b.column(1).slice(lo, hi - lo), size)
+                n, key = set_keys(text, h, hi - lo)
+                parts.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64), n, key, text, h))
+                held += len(h)
+                if held >= BATCH:
+                    yield packed(task << 32 | k, parts)
+                    k, held, parts = k + 1, 0, []
+        if parts:
+            yield packed(task << 32 | k, parts)
 
     def count(t: pa.Table) -> pa.Table:
-        read = lambda c, kind: np.frombuffer(b"".join(t.column(c).to_pylist()), dtype=kind)
-        key, n, per = read("keys", "V16"), read("sizes", np.int32), read("counts", np.int32)
-        tok = read("low", np.uint32).astype(np.int64) | (read("high", np.uint16).astype(np.int64) << 32)
-        once = np.zeros(len(key), bool)
-        once[np.unique(key, return_index=True)[1]] = True
-        owner = np.repeat(np.arange(len(key)), per)
-        keep = once[owner]
-        owner, tok = owner[keep], tok[keep]
+        if t.column("bucket")[0].as_py() < 0:
+            return t
+        read = lambda c, kind: [np.frombuffer(x, kind) for x in t.column(c).to_pylist()]
+        texts, counts, low, high = read("texts", np.uint32), read("counts", np.uint32), read("low", np.uint32), read("high", np.uint8)
+        tok = np.concatenate(low).astype(np.int64) | np.concatenate(high).astype(np.int64) << 32
         order = np.argsort(tok, kind="stable")
         s = tok[order]
-        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]])) if len(s) else np.zeros(0, np.int64)
-        df = np.zeros(len(s), np.int32)
-        df[order] = np.repeat(np.diff(np.append(first, len(s))), np.diff(np.append(first, len(s)))).astype(np.int32)
-        owner, tok, df = owner[df > 1], tok[df > 1] | (int(t.column("bucket")[0].as_py()) << 48), df[df > 1]
-        d, per = np.unique(owner, return_counts=True)
-        at = pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32))
-        return pa.table([cells(key[d].view(np.uint8).reshape(-1, 16)), pa.array(n[d]), pa.ListArray.from_arrays(at, pa.array(tok)), pa.ListArray.from_arrays(at, pa.array(df))], names=["key", "n", "tok", "df"])
-
-    dealt = docs.mapInArrow(deal, "bucket int, keys binary, sizes binary, counts binary, low binary, high binary")
-    return dealt.groupBy("bucket").applyInArrow(count, "key binary, n int, tok array<long>, df array<int>")
+        first = np.flatnonzero(np.concatenate([[True], s[1:] != s[:-1]]))
+        each = np.diff(np.append(first, len(s)))
+        df = np.empty(len(s), np.uint32)
+        df[order] = np.repeat(each, each)
+        out, at = [], 0
+        for uid, x, c, lo, hi in zip(t.column("uid").to_pylist(), texts, counts, low, high, strict=True):
+            own = df[at : at + len(lo)]
+            at += len(lo)
+            if (many := own > 1).any():
+                left = np.add.reduceat(many, np.cumsum(c, dtype=np.int64) - c)
+                out.append((t.column("bucket")[0].as_py(), uid, x[left > 0].tobytes(), left[left > 0].astype(np.uint32).tobytes(), lo[many].tobytes(), hi[many].tobytes(), own[many].tobytes(), None, None, None))
+        return pa.Table.from_arrays(_rows(out), NAMES) if out else t.slice(0, 0)
+
+    def whole(t: pa.Table) -> pa.Table:
+        head = [r for r in t.select(["bucket", "ids", "sizes", "keys"]).to_pylist() if r["bucket"] < 0][0]
+        ids, n, key = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["sizes"], np.int32), np.frombuffer(head["keys"], np.uint8).reshape(-1, 16)
+        rows = [r for r in t.to_pylist() if r["bucket"] >= 0]
+        read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)])
+        text = np.repeat(read("texts", np.uint32), read("counts", np.uint32)).astype(np.int64)
+        high = np.repeat(np.array([r["bucket"] for r in rows], np.int64), [len(r["high"]) for r in rows]) << 40
+        tok, df = high | read("high", np.uint8).astype(np.int64) << 32 | read("low", np.uint32), read("df", np.uint32).astype(np.int32)
+        per = np.bincount(text, minlength=len(ids))
+        enough = (per * 100 >= n.astype(np.int64) * percent) & (n > 0)
+        order = np.argsort(text, kind="stable")
+        order = order[enough[text[order]]]
+        at = pa.array(np.concatenate([[0], np.cumsum(np.where(enough, per, 0))]).astype(np.int32))
+        lists = [pa.ListArray.from_arrays(at, pa.array(x[order]), mask=pa.array(~enough)) for x in (tok, df)]
+        return pa.Table.from_arrays([pa.array(ids), pa.array(n), cells(key), *lists], ["doc_id", "n", "key", "tok", "df"])
+
+    answered = docs.mapInArrow(deal, PARTS).groupBy("bucket").applyInArrow(count, PARTS)
+    return answered.groupBy("uid").applyInArrow(whole, "doc_id long, n int, key binary, tok array<long>, df array<int>")
 
 
 def _linked(shared: Column, a: Column, b: Column, percent: int) -> Column:
@@ -117,27 +149,30 @@ def boundary(sets: DataFrame) -> int:
     return (2 << int(rows[k - 1]["cls"])) - 1 if k else 0
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _overlaps(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """u, v, shared, nu, nv of pairs (u, v), from the whole sets."""
     a = sets.select(F.col("sid").alias("u"), F.col("n").alias("nu"), F.col("tok").alias("tu"))
     b = sets.select(F.col("sid").alias("v"), F.col("n").alias("nv"), F.col("tok").alias("tv"))
-    both = pairs.join(a, "u").join(b, "v")
-    return both.where(_linked(F.size(F.array_intersect("tu", "tv")), F.col("nu"), F.col("nv"), percent)).select("u", "v")
+    return pairs.join(a, "u").join(b, "v").select("u", "v", F.size(F.array_intersect("tu", "tv")).alias("shared"), "nu", "nv")
+
+
+def _links(overlaps: DataFrame, percent: int) -> DataFrame:
+    return overlaps.where(_linked(F.col("shared"), F.col("nu"), F.col("nv"), percent)).select("u", "v")
 
 
 def similar_sets(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n_shingles, component_id for every row of docs (doc_id, text)."""
     ship(docs.sparkSession)
-    docs = docs.where("doc_id IS NOT NULL").select("doc_id", "text")
-    members = scratch.save(shingle_sets(docs, size), "members")
+    texts = scratch.save(shared_shingles(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), percent, size), "texts")
+    members = texts.select("doc_id", "n", "key")
     reps = members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("sid"))
 
-    parts = shared_shingles(docs, size).groupBy("key", "n").agg(F.collect_list(F.struct("tok", "df")).alias("parts"))
     need = F.expr(f"cast((n * {percent}L + 99) div 100 AS int)")
-    whole = parts.select("key", "n", F.flatten("parts.tok").alias("tok"), F.flatten("parts.df").alias("df")).withColumn("t", F.size("tok")).where(F.col("t") >= need)
-    order = F.array_sort(F.arrays_zip("df", "tok"))
-    whole = whole.withColumn("p", F.col("t") - need + 1).withColumn("pre", F.slice(order, F.lit(1), F.col("p") + 1)).drop("df")
-    scan = F.aggregate(F.slice("pre", F.lit(1), F.col("p")), F.lit(0.0), lambda acc, x: acc + x["df"])
-    sets = scratch.save(whole.join(reps, "key").select("sid", "n", "t", "p", F.col("pre.tok").alias("pre"), scan.alias("scan"), F.array_sort("tok").alias("tok")), "sets")
+    one = texts.where("tok IS NOT NULL").select("key", "n", "tok", "df").dropDuplicates(["key"]).withColumn("t", F.size("tok"))
+    one = one.withColumn("p", F.col("t") - need + 1).withColumn("pre", F.slice(F.array_sort(F.arrays_zip("df", "tok")), F.lit(1), F.col("p") + 1))
+    # A list costs each of its sets a row, and comparisons that the order of step 4 keeps few however long it is.
+    scan = F.aggregate(F.slice("pre", F.lit(1), F.col("p")), F.lit(0.0), lambda acc, x: acc + 1 + F.least(x["df"], F.lit(16)) / 2)
+    sets = scratch.save(one.join(reps, "key").select("sid", "n", "t", "p", F.col("pre.tok").alias("pre"), scan.alias("scan"), "tok"), "sets")
 
     most = boundary(sets)
     base = ["sid", "n", "t"]
@@ -150,18 +185,32 @@ def similar_sets(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size
     lists = scratch.save(posted.join(long, on), "lists")
     meets = (F.col("a.kind") == 0) | ~F.col("a.light") | ~F.col("b.light")
 
-    central = lists.select(*on, F.struct(*base, "light").alias("x"), F.col("lead").alias("y")).where("x.sid <> y.sid")
-    central = central.select("kind", F.col("x").alias("a"), F.col("y").alias("b")).select(F.struct("kind", "a.*").alias("a"), "b").where(meets & _possible("a", "b", percent))
-    first = scratch.save(_verified(central.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct(), sets, percent), "first")
+    central = lists.where("sid <> lead.sid").select(F.struct("kind", *base, "light").alias("a"), F.col("lead").alias("b")).where(meets & _possible("a", "b", percent))
+    known = scratch.save(_overlaps(central.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct(), sets), "known")
+    first = _links(known, percent)
     comp = scratch.save(components(first, scratch, "star"), "merged")
 
-    rest = lists.drop("lead").join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
-    sizes = rest.groupBy(*on, "comp").count().groupBy(*on).agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select(*on, F.col("top.comp").alias("main"))
-    rest = scratch.save(rest.join(sizes, on), "rest")
-    a, b = rest.where("comp <> main").alias("a"), rest.alias("b")
-    across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.list") == F.col("b.list")) & (F.col("a.comp") != F.col("b.comp")) & meets & _possible("a", "b", percent))
+    rest = lists.select(*on, *base, "light", F.col("lead.sid").alias("lead")).join(comp.withColumnRenamed("id", "sid"), "sid", "left").withColumn("comp", F.coalesce("comp", "sid"))
+    apart = rest.groupBy(*on, "comp").count().groupBy(*on).agg(F.max(F.struct("count", "comp")).alias("top"), F.count("*").alias("comps")).where("comps > 1").select(*on, F.col("top.comp").alias("main"))
+    rest = rest.join(apart, on).withColumns({"u": F.least("sid", "lead"), "v": F.greatest("sid", "lead")}).join(known.select("u", "v", "shared"), ["u", "v"], "left")
+    # i: overlap with the central set, where it's known; the central set's own is all of it.
+    rest = scratch.save(rest.withColumn("i", F.when(F.col("sid") == F.col("lead"), F.col("t")).otherwise(F.col("shared"))).drop("u", "v", "shared", "lead"), "rest")
+    enough = lambda bound, sizes: bound * (100 + percent) >= percent * sizes
+    partner = lambda least: F.col("n") + F.greatest(least, F.col("n") * percent / 100)
+    # Sets that no size on their list lets have a partner go first; then those that no overlap there does.
+    least_n = rest.groupBy(*on).agg(F.min("n").alias("least_n"))
+    rest = rest.join(least_n, on).where(enough(F.col("t"), partner(F.col("least_n"))))
+    most_else = rest.groupBy(*on).agg(F.max(F.col("t") - F.coalesce("i", F.lit(0))).alias("most_else"))
+    reach = F.coalesce(F.col("i") + F.least(F.col("t") - F.col("i"), F.col("most_else")), F.col("t"))
+    every = sets.where(F.col("n") <= most).select("sid", F.lit(0).alias("kind"), F.array_distinct(subsets).alias("every")).unionByName(sets.select("sid", F.lit(1).alias("kind"), F.slice("pre", F.lit(1), F.col("p")).alias("every")))
+    rest = rest.join(every, ["sid", "kind"])
+    a, b = rest.where("comp <> main").join(most_else, on).where(enough(reach, partner(F.col("least_n")))).alias("a"), rest.alias("b")
+    both = F.least("a.i", "b.i") + F.least(F.col("a.t") - F.col("a.i"), F.col("b.t") - F.col("b.i"))  # null if either is unknown
+    once = ((F.col("b.comp") == F.col("b.main")) | (F.col("a.sid") < F.col("b.sid"))) & (F.array_min(F.array_intersect("a.every", "b.every")) == F.col("a.list"))  # on the first list that both are on
+    possible = meets & _possible("a", "b", percent) & F.coalesce(enough(both, F.col("a.n") + F.col("b.n")), F.lit(True))
+    across = a.join(b, (F.col("a.kind") == F.col("b.kind")) & (F.col("a.list") == F.col("b.list")) & (F.col("a.comp") != F.col("b.comp")) & possible & once)
     across = across.select(F.least("a.sid", "b.sid").alias("u"), F.greatest("a.sid", "b.sid").alias("v")).distinct()
-    second = scratch.save(_verified(across, sets, percent), "second")
+    second = scratch.save(_links(_overlaps(across, sets), percent), "second")
     final = components(first.unionByName(second), scratch, "all")
 
     named = reps.join(final.withColumnRenamed("id", "sid"), "sid", "left").select("key", F.coalesce("comp", "sid").alias("component"))
