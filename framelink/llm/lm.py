@@ -32,6 +32,7 @@ from .textnp import U, Words, chunks, mix
 PRIOR = 300.0  # K
 START, END = U(0x5354415254), U(0x454E44)
 LOW40 = U((1 << 40) - 1)
+CHUNK_BYTES = 8 << 20  # of text that counts its words and pairs before they travel
 
 
 def tokens(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,7 +55,7 @@ def numbered(batches):
     """(number of the piece of text, rows of its batch) of all pieces of this task's texts."""
     k, at = 0, TaskContext.get().partitionId()
     for b in batches:
-        for lo, hi in chunks(b.column("text")):
+        for lo, hi in chunks(b.column("text"), CHUNK_BYTES):
             yield at << 32 | k, b.slice(lo, hi - lo)
             k += 1
 
