@@ -5,6 +5,14 @@ turned into its set of word bigrams. Dice >= t needs |A| between |B| * t / (2 -
 so units that no template's bounds admit are dropped before anything is joined, and the rest join
 template bigrams by equality under the bounds of that template.
 
+scan_notices finds what units miss: notices wrapped over lines or inside a longer paragraph. It looks
+at runs of words over the whole text, whatever its lines. Of all runs whose number of bigrams is
+within the template's bounds, only those that begin and end with a bigram of the template can be
+best, so runs are made from those places alone, and a place needs |B| * t / (2 - t) of them within
+the longest run. The best runs that don't overlap are kept, greatest Dice first, then the earliest
+and the shortest. op5_license_scan keeps to the units that its SQL defines; op5_license_notices
+gives both.
+
 The templates are a parameter and a fixed small table; it is broadcast because its size is the
 table below, not the data's. Defined results: null and empty texts have no match; a row without
 doc_id has no result; ties go to the longer template and then to the first name; repeated rows
@@ -13,6 +21,7 @@ give one result for each doc_id.
 
 from __future__ import annotations
 
+import math
 import re
 
 from pyspark.sql import Column, DataFrame
@@ -38,6 +47,13 @@ TEMPLATES = (
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
+# Whole texts of licences short enough to stand inside a document.
+FULL_TEXTS = (
+    ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
+    ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
+)
+
 
 def template_bigrams(templates=TEMPLATES) -> list[tuple[str, int, str]]:
     """(name, number of distinct bigrams, bigram)."""
@@ -72,6 +88,53 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, id_c
     return counted.where(F.col("shared") * 2 >= dice * (F.col("n_unit") + F.col("n_template")))
 
 
+def scan_notices(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, license, first_word, last_word, shared, n_unit, n_template of the best runs of words, anywhere in the text, at dice or more. Two templates of one licence count apart."""
+    low, high = dice / (2 - dice), (2 - dice) / dice
+    known = []
+    for name, text in templates:
+        w = re.findall("[a-z0-9]+", text.lower())
+        grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        n = len(set(grams))
+        known.append((name, n, math.ceil(n * low - 1e-9), math.floor(len(grams) * high + 1e-9), set(grams)))
+    starts = sorted({g.split()[0] for t in known for g in t[4]})
+    gram = lambda w, i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
+    word = F.filter(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    every = sorted({g for t in known for g in t[4]})
+    at = lambda w: F.when(F.size(w) >= 2, F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(w, i).isin(starts) & gram(w, i).isin(every))).otherwise(F.array().cast("array<int>"))
+    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), let(word, lambda w: F.struct(w.alias("w"), at(w).alias("at"))).alias("x"))
+    found = found.select("doc_id", "x.w", "x.at").where(F.size("at") >= min(t[2] for t in known))
+    among = lambda grams: F.filter("at", lambda i: gram(F.col("w"), i).isin(grams))
+    # The few texts with enough bigrams of any template are read once more for each template.
+    wide = found.select("doc_id", "w", F.explode(F.array(*(F.struct(F.lit(k).alias("t"), among(sorted(t[4])).alias("at")) for k, t in enumerate(known)))).alias("x"))
+    spec = docs.sparkSession.createDataFrame([(k, *t[:4]) for k, t in enumerate(known)], "t int, license string, n_template int, need int, longest int")
+    wide = wide.select("doc_id", "w", "x.t", "x.at").join(F.broadcast(spec), "t").where(F.size("at") >= F.col("need"))
+    at, need, longest, w = (F.col(c) for c in ("at", "need", "longest", "w"))
+    begin = F.filter(F.sequence(F.lit(0), F.size(at) - need), lambda i: F.get(at, i + need - 1) - F.get(at, i) < longest)
+    runs = wide.select("*", F.explode(begin).alias("i")).select("*", F.explode(F.filter(F.sequence(F.col("i") + need - 1, F.least(F.size(at), F.col("i") + longest) - 1), lambda j: F.get(at, j) - F.get(at, F.col("i")) < longest)).alias("j"))
+    distinct = lambda places: F.size(F.array_distinct(F.transform(places, lambda p: gram(w, p))))
+    a, b = F.get(at, F.col("i")), F.get(at, F.col("j"))
+    runs = runs.select("doc_id", "license", "t", "n_template", a.alias("first_word"), (b + 1).alias("last_word"), distinct(F.slice(at, F.col("i") + 1, F.col("j") - F.col("i") + 1)).alias("shared"), distinct(F.sequence(a, b)).alias("n_unit"))
+    runs = runs.where(F.col("shared") * 2 >= dice * (F.col("n_unit") + F.col("n_template")))
+    score = (-F.col("shared") / (F.col("n_unit") + F.col("n_template"))).alias("s")
+    best = runs.groupBy("doc_id", "license", "t", "n_template").agg(F.sort_array(F.collect_set(F.struct(score, "first_word", "last_word", "shared", "n_unit"))).alias("x"))
+    kind = best.schema["x"].dataType
+    apart = F.aggregate("x", F.array().cast(kind), lambda kept, r: F.when(F.exists(kept, lambda k: (k["first_word"] <= r["last_word"]) & (r["first_word"] <= k["last_word"])), kept).otherwise(F.concat(kept, F.array(r))))
+    return best.select("doc_id", "license", "n_template", F.explode(apart).alias("r")).select("doc_id", "license", "r.first_word", "r.last_word", "r.shared", "r.n_unit", "n_template")
+
+
+def op5_license_notices(spark, sf_dir) -> DataFrame:
+    """doc_id, n_units, n_notices, license, dice_ppm of each document: the best of its lines, whole text and runs of words."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    score = F.expr("2000000 * shared div (n_unit + n_template)").alias("s")
+    units = scan_licenses(docs).select("doc_id", "line_no", F.lit(None).cast("int").alias("first_word"), "license", "n_template", score)
+    runs = scan_notices(docs).select("doc_id", F.lit(None).cast("int").alias("line_no"), "first_word", "license", "n_template", score)
+    # The least of the negated numbers: greatest score, longer template, first name.
+    best = units.unionByName(runs).groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_units"), F.countDistinct(F.when(F.col("first_word").isNotNull(), F.struct("first_word", "license"))).alias("n_notices"), F.min(F.struct(-F.col("s"), -F.col("n_template"), F.col("license").alias("license"), F.col("s").alias("s"))).alias("top"))
+    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
+    return ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.col("top.license").alias("license"), F.coalesce("top.s", F.lit(0)).cast("long").alias("dice_ppm"))
+
+
 def op5_license_scan(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = scan_licenses(docs)

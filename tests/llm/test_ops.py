@@ -160,6 +160,29 @@ def test_licenses(spark):
     assert {(1, 0, "MIT"), (5, 0, "Apache-2.0")} <= got and {g[0] for g in got} == {1, 5}
 
 
+def test_license_notices(spark, monkeypatch):
+    """Notices wrapped over lines, inside a paragraph, twice in a text, and as a whole licence."""
+    rng = random.Random(4)
+    t, full = dict(licenses.TEMPLATES), dict(licenses.FULL_TEXTS)
+    wrap = lambda x: "\n".join(" * " + " ".join(x.split()[k : k + 9]) for k in range(0, len(x.split()), 9))
+    inside = lambda x: f"{prose(rng, 90)} {x} {prose(rng, 70)}"
+    rows = {i: f"{prose(rng, 60)}\n{wrap(t[name])}\n{prose(rng, 60)}" for i, name in enumerate(("Apache-2.0-header", "MIT-grant", "GPL-3.0-or-later"))}
+    rows |= {10: inside(t["MIT"]), 11: inside(wrap(full["BSD-3-Clause"])), 12: inside(t["MIT"]) + inside(t["MIT"]), 13: inside(t["MPL-2.0"]).replace("Mozilla", "Public Mozilla"), 14: prose(rng, 300), 15: None, 16: "released", 17: t["MIT"]}
+    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = defaultdict(list)
+    for r in licenses.scan_notices(d).collect():
+        got[r.doc_id, r.license, r.n_template].append((r.first_word, r.last_word, r.shared, r.n_unit))
+    n = {name: k for name, k, _ in licenses.template_bigrams()}["Apache-2.0-header"]
+    assert got[0, "Apache-2.0-header", n] == [(60, 60 + n, n, n)]
+    assert {(1, "MIT-grant"), (2, "GPL-3.0-or-later"), (10, "MIT"), (11, "BSD-3-Clause"), (13, "MPL-2.0"), (17, "MIT")} <= {k[:2] for k in got}
+    assert sorted(got[12, "MIT", 4]) == [(90, 94, 4, 4), (254, 258, 4, 4)] and not {14, 15, 16} & {k[0] for k in got}
+    assert any(n > 150 for i, _, n in got if i == 11)
+    assert {r.doc_id for r in licenses.scan_licenses(d).collect()} == {0, 17}  # 0: one of its lines is a short notice
+    monkeypatch.setattr(licenses, "table", lambda *a: d)
+    out = {r.doc_id: r for r in licenses.op5_license_notices(spark, "").collect()}
+    assert len(out) == len(rows) and (out[12].n_notices, out[12].license, out[12].dice_ppm) == (2, "MIT", 1000000) and (out[14].n_notices, out[14].license) == (0, None)
+
+
 def test_bpe(spark, docs, texts, none):
     import tiktoken
 
