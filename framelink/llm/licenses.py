@@ -9,7 +9,8 @@ scan_notices finds what units miss: notices wrapped over lines or inside a longe
 at runs of words over the whole text, whatever its lines. Of all runs whose number of bigrams is
 within the template's bounds, only those that begin and end with a bigram of the template can be
 best, so runs are made from those places alone, and a place needs |B| * t / (2 - t) of them within
-the longest run. The best runs that don't overlap are kept, greatest Dice first, then the earliest
+the longest run. Texts without any of a few words and bigrams, which no run at dice can lack
+altogether, are dropped first. The best runs that don't overlap are kept, greatest Dice first, then the earliest
 and the shortest. op5_license_scan keeps to the units that its SQL defines; op5_license_notices
 gives both.
 
@@ -23,6 +24,8 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -88,6 +91,23 @@ def scan_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, id_c
     return counted.where(F.col("shared") * 2 >= dice * (F.col("n_unit") + F.col("n_template")))
 
 
+def anchors(known) -> tuple[list[str], str]:
+    """Words of six letters or more, and a pattern of bigrams: a text with |B| * t / (2 - t) bigrams of a template has one of them, as those without are too few."""
+    left = {k: (t[1] - t[2] + 1, set(t[4])) for k, t in enumerate(known)}
+    words, pairs = [], set()
+    while left:
+        gain = Counter(w for n, grams in left.values() for g in grams for w in set(g.split()) if len(w) >= 6)
+        if gain:
+            words.append(w := max(gain, key=lambda w: (gain[w], w)))
+            left = {k: (n - sum(w in g.split() for g in grams), {g for g in grams if w not in g.split()}) for k, (n, grams) in left.items()}
+        else:
+            for n, grams in left.values():
+                pairs |= set(sorted(grams, key=lambda g: (-len(g), g))[:n])
+            left = {}
+        left = {k: x for k, x in left.items() if x[0] > 0}
+    return words, "|".join(g.replace(" ", "[^a-z0-9]+") for g in sorted(pairs))
+
+
 def scan_notices(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, first_word, last_word, shared, n_unit, n_template of the best runs of words, anywhere in the text, at dice or more. Two templates of one licence count apart."""
     low, high = dice / (2 - dice), (2 - dice) / dice
@@ -99,10 +119,16 @@ def scan_notices(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float
         known.append((name, n, math.ceil(n * low - 1e-9), math.floor(len(grams) * high + 1e-9), set(grams)))
     starts = sorted({g.split()[0] for t in known for g in t[4]})
     gram = lambda w, i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
-    word = F.filter(F.split(lower_ascii(F.coalesce(F.col(text_col), F.lit(""))), "[^a-z0-9]+"), lambda w: w != "")
+    word = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
     every = sorted({g for t in known for g in t[4]})
     at = lambda w: F.when(F.size(w) >= 2, F.filter(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.get(w, i).isin(starts) & gram(w, i).isin(every))).otherwise(F.array().cast("array<int>"))
-    found = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), let(word, lambda w: F.struct(w.alias("w"), at(w).alias("at"))).alias("x"))
+    rare, pairs = anchors(known)
+
+    def may(t: Column) -> Column:
+        has = reduce(Column.__or__, (t.contains(w) for w in rare), F.lit(False))
+        return has | t.rlike(pairs) if pairs else has
+
+    found = docs.where(F.col(id_col).isNotNull() & let(F.lower(F.col(text_col)), may)).select(F.col(id_col).alias("doc_id"), let(word, lambda w: F.struct(w.alias("w"), at(w).alias("at"))).alias("x"))
     found = found.select("doc_id", "x.w", "x.at").where(F.size("at") >= min(t[2] for t in known))
     among = lambda grams: F.filter("at", lambda i: gram(F.col("w"), i).isin(grams))
     # The few texts with enough bigrams of any template are read once more for each template.
