@@ -1,10 +1,14 @@
-"""LM scoring: a smoothed word bigram model in Elias-Fano trie levels, one for each range of contexts.
+"""LM scoring: a smoothed word n-gram model in Elias-Fano trie levels, for each range of contexts.
 
 P1(w) = (c(w) - D) / N for words that training saw; all others are one unknown word, as in the base
 model, with P1 = D * V / N, and D = n1 / V gives them the share of words seen once (Good-Turing).
 P(w | u) = (c(u, w) + K * P1(w)) / (c(u) + K). The first factor, c(u, w) / (c(u) + K), is what a trie
 level stores, quantised to one byte; what a level lacks has only the second.
 
+Order three adds a level whose contexts are the places of the pairs in the level before:
+P(w | t, u) = (c(t, u, w) + K3 * P(w | u)) / (c(t, u) + K3) from a text's second token on. Triples
+travel and stay with their first pair, whose count comes back with the answers.
+
 The model grows with the corpus, so it's never in one place, on the driver or broadcast. Each few MB
 of text send their different words, and then their different pairs, to the range of their hash;
 a range sums the training counts, builds its level, answers every pair by a successor search, and
@@ -30,6 +34,7 @@ from .elias_fano import TrieLevel
 from .textnp import U, Words, chunks, mix
 
 PRIOR = 300.0  # K
+PRIOR3 = 300.0  # K3
 START, END = U(0x5354415254), U(0x454E44)
 LOW40 = U((1 << 40) - 1)
 CHUNK_BYTES = 8 << 20  # of text that counts its words and pairs before they travel
@@ -77,12 +82,19 @@ def pairs_of(before: np.ndarray, tok: np.ndarray, heavy: np.ndarray, shards: int
     return u[order], w[order], shard[order], place[inverse]
 
 
+def triples_of(doc: np.ndarray, tok: np.ndarray, place: np.ndarray):
+    """Different triples by the place of their first pair: that place, third word, each token's triple, and the tokens that have one."""
+    later = np.flatnonzero(doc[1:] == doc[:-1]) + 1
+    key, at = np.unique(place[later - 1].astype(np.uint64) << U(40) | (tok[later] & LOW40), return_inverse=True)
+    return (key >> U(40)).astype(np.int64), key & LOW40, at, later
+
+
 def read(t: pa.Table, column: str, kind) -> np.ndarray:
     return np.frombuffer(b"".join(t.column(column).to_pylist()), kind)
 
 
-def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float = PRIOR) -> DataFrame:
-    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text)."""
+def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float = PRIOR, order: int = 2, prior3: float = PRIOR3) -> DataFrame:
+    """doc_id, train, n_tokens, n_known, train_tokens, base_score, score of each row of docs (doc_id, text); order is 2 or 3."""
     spark = docs.sparkSession
     ship(spark)
     docs = docs.select("doc_id", "text", F.expr(is_train).alias("train"))
@@ -118,6 +130,8 @@ def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float =
 
     sent = docs.mapInArrow(words_out, "uid long, shard int, words binary, counts binary")
     totals = scratch.save(sent.groupBy("shard").applyInArrow(total, "uid long, shard int, counts binary, kinds long, once long, n long, top array<long>, top_n array<long>"), "totals")
+    free = spark.sparkContext._jvm.System.gc  # else shuffle files of a finished step stay until the driver collects its garbage
+    free()
     sums = totals.where("uid = -1")
     v, once, n = (int(x or 0) for x in sums.agg(F.sum("kinds"), F.sum("once"), F.sum("n")).first())
     share = n / (4 * shards)
@@ -132,13 +146,16 @@ def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float =
             u, w, shard, place = pairs_of(before, tok, heavy, shards)
             c = np.bincount(place[trained(b)[doc]], minlength=len(u)).astype(np.uint32)
             ends = np.searchsorted(shard, np.arange(shards + 1))
+            parent, third, at, later = triples_of(doc, tok, place) if order > 2 else [np.zeros(0, np.int64)] * 4
+            c3 = np.bincount(at[trained(b)[doc[later]]], minlength=len(parent)).astype(np.uint32)
+            kids, ends3 = np.bincount(parent, minlength=len(u)).astype(np.uint32), np.searchsorted(parent, ends)
             out = []
             for s in np.flatnonzero(np.diff(ends)):
                 p = slice(ends[s], ends[s + 1])
                 first = np.flatnonzero(np.concatenate([[True], u[p][1:] != u[p][:-1]]))
-                out.append((int(s), u[p][first].tobytes(), np.diff(np.append(first, ends[s + 1] - ends[s])).astype(np.uint32).tobytes(), w[p].astype(np.uint32).tobytes(), (w[p] >> U(32)).astype(np.uint8).tobytes(), c[p].tobytes()))
+                out.append((int(s), u[p][first].tobytes(), np.diff(np.append(first, ends[s + 1] - ends[s])).astype(np.uint32).tobytes(), w[p].astype(np.uint32).tobytes(), (w[p] >> U(32)).astype(np.uint8).tobytes(), c[p].tobytes(), kids[p].tobytes() if order > 2 else b"", third[q := slice(ends3[s], ends3[s + 1])].astype(np.uint32).tobytes(), (third[q] >> 32).astype(np.uint8).tobytes(), c3[q].tobytes()))
             s, *rest = zip(*out, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), uid)), pa.array(s, pa.int32()), *map(pa.array, rest)], ["uid", "shard", "contexts", "sizes", "low", "high", "counts"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(s), uid)), pa.array(s, pa.int32()), *map(pa.array, rest)], ["uid", "shard", "contexts", "sizes", "low", "high", "counts", "kids", "low3", "high3", "counts3"])
 
     def level(t: pa.Table) -> pa.Table:
         """Sum a range's pairs, build its trie level, and answer each piece's pairs with log10 c(u, w) / (c(u) + K)."""
@@ -160,11 +177,28 @@ def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float =
         for lo in range(0, len(asked), 1 << 18):
             q = asked[lo : lo + (1 << 18)]
             value[q] = built.find(context[q], rank[q])
-        cut = np.cumsum([len(x) for x in t.column("high").to_pylist()])[:-1]
-        return pa.table([t.column("uid"), t.column("shard"), pa.array([x.tobytes() for x in np.split(value[back].astype(np.float16), cut)])], names=["uid", "shard", "found"])
+        parts = lambda x, column: pa.array([p.tobytes() for p in np.split(x, np.cumsum([len(p) for p in t.column(column).to_pylist()])[:-1])], pa.binary())
+        found = parts(value[back].astype(np.float16), "high")
+        if order < 3:
+            return pa.table([t.column("uid"), t.column("shard"), found, *[pa.nulls(t.num_rows, pa.binary())] * 2], names=["uid", "shard", "found", "seen", "found3"])
+        word = read(t, "low3", np.uint32).astype(np.int64) | read(t, "high3", np.uint8).astype(np.int64) << 32
+        triple, back3 = np.unique(np.repeat(back, read(t, "kids", np.uint32)) << 40 | word, return_inverse=True)
+        c3 = np.bincount(back3, read(t, "counts3", np.uint32), minlength=len(triple))
+        parent, word = triple >> 40, triple & int(LOW40)
+        place, seen3 = np.cumsum(seen) - 1, c3 > 0  # of a pair in the level before; a seen triple's pair is seen
+        vocabulary, symbol = np.unique(word[seen3], return_inverse=True)
+        built = TrieLevel(*TrieLevel.build(int(seen.sum()), place[parent[seen3]], symbol, np.log10(c3[seen3] / (c[parent[seen3]] + prior3))))
+        rank = np.minimum(np.searchsorted(vocabulary, word), max(0, len(vocabulary) - 1))
+        asked = np.flatnonzero((vocabulary[rank] == word) & seen[parent]) if len(vocabulary) else np.zeros(0, np.int64)
+        value = np.full(len(triple), np.nan, np.float32)
+        for lo in range(0, len(asked), 1 << 18):
+            q = asked[lo : lo + (1 << 18)]
+            value[q] = built.find(place[parent[q]], rank[q])
+        return pa.table([t.column("uid"), t.column("shard"), found, parts(c[back].astype(np.uint32), "high"), parts(value[back3].astype(np.float16), "high3")], names=["uid", "shard", "found", "seen", "found3"])
 
-    asked = docs.mapInArrow(pairs_out, "uid long, shard int, contexts binary, sizes binary, low binary, high binary, counts binary")
-    answers = scratch.save(asked.groupBy("shard").applyInArrow(level, "uid long, shard int, found binary"), "answers")
+    asked = docs.mapInArrow(pairs_out, "uid long, shard int, contexts binary, sizes binary, low binary, high binary, counts binary, kids binary, low3 binary, high3 binary, counts3 binary")
+    answers = scratch.save(asked.groupBy("shard").applyInArrow(level, "uid long, shard int, found binary, seen binary, found3 binary"), "answers")
+    free()
 
     def texts_out(batches):
         for uid, b in numbered(batches):
@@ -188,21 +222,26 @@ def score_texts(docs: DataFrame, scratch: Scratch, is_train: str, prior: float =
         d = once / v if v else 0.0
         p1 = np.where(c > 0, c - d, max(once, 0.5)) / max(n, 1)
         p = (np.where(np.isnan(found), 0, 10.0**found) + prior * p1[np.searchsorted(known, w)] / (cu + prior)) if n else np.ones(len(u))
+        each = p[place]
+        if order > 2:
+            parent, _, at3, later = triples_of(doc, tok, place)
+            found3, pair_n = answer("found3", np.float16).astype(np.float64), answer("seen", np.uint32)[parent]
+            each[later] = np.where(np.isnan(found3), 0, 10.0**found3)[at3] + (prior3 / (pair_n + prior3))[at3] * p[place[later]]
         base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
         add = lambda x: np.bincount(doc, x, minlength=texts.num_rows)
         whole = lambda x: pa.array(np.rint(x).astype(np.int64))
         return pa.table(
-            [texts.column("doc_id"), texts.column("train"), whole(add(np.ones(len(doc)))), whole(add((c > 0)[at])), whole(np.full(texts.num_rows, n)), pa.array(add(base[at])), pa.array(add(np.log10(p)[place]))],
+            [texts.column("doc_id"), texts.column("train"), whole(add(np.ones(len(doc)))), whole(add((c > 0)[at])), whole(np.full(texts.num_rows, n)), pa.array(add(base[at])), pa.array(add(np.log10(each)))],
             names=["doc_id", "train", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
     none = F.lit(None).cast("binary")
-    back = totals.where("uid >= 0").select("uid", "shard", "counts", none.alias("found")).unionByName(answers.select("uid", "shard", none.alias("counts"), "found"))
+    back = totals.where("uid >= 0").select("uid", "shard", "counts", *(none.alias(x) for x in ("found", "seen", "found3"))).unionByName(answers.select("uid", "shard", none.alias("counts"), "found", "seen", "found3"))
     texts = docs.mapInArrow(texts_out, "uid long, doc_id long, text string, train boolean")
     return texts.groupBy("uid").cogroup(back.groupBy("uid")).applyInArrow(finish, "doc_id long, train boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op8_lm_scoring(spark, sf_dir) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    out = score_texts(docs, Scratch(spark, "lm"), "coalesce(crc32(cast(doc_id AS string)) % 5 <> 1, true)")
+    out = score_texts(docs, Scratch(spark, "lm"), "coalesce(crc32(cast(doc_id AS string)) % 5 <> 1, true)", order=3)
     return out.select("doc_id", F.expr("NOT train").alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")

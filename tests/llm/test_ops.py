@@ -281,6 +281,35 @@ def test_lm(spark, docs, texts, none):
     assert {r.score for r in lm.score_texts(docs.limit(5), scratch(spark), "false").collect()} == {0.0}
 
 
+def test_lm_order_three(spark, docs, texts, none):
+    """Scores use two words of context; the query's does too."""
+    got = {r.doc_id: r for r in lm.score_texts(docs, scratch(spark), "crc32(cast(doc_id AS string)) % 5 <> 1", order=3).collect()}
+    tok = {i: ["^", *words(t), None] for i, t in texts.items()}
+    c, pair, triple = Counter(), Counter(), Counter()
+    for i, w in tok.items():
+        if zlib.crc32(str(i).encode()) % 5 != 1:
+            c.update(w)
+            pair.update(zip(w, w[1:], strict=False))
+            triple.update(zip(w, w[1:], w[2:], strict=False))
+    known = {x: k for x, k in c.items() if x != "^"}
+    n, v, once = sum(known.values()), len(known), sum(x == 1 for x in known.values())
+    p1 = lambda x: (c[x] - once / v if c[x] else once) / n
+    p2 = lambda u, x: (pair[u, x] + lm.PRIOR * p1(x)) / (c[u] + lm.PRIOR)
+    p3 = lambda t, u, x: (triple[t, u, x] + lm.PRIOR3 * p2(u, x)) / (pair[t, u] + lm.PRIOR3)
+    for i, w in tok.items():
+        score = math.log10(p2(*w[:2])) + sum(math.log10(p3(*x)) for x in zip(w, w[1:], w[2:], strict=False))
+        assert got[i].score == pytest.approx(score, rel=0.003)
+    assert lm.score_texts(none, scratch(spark), "true", order=3).count() == 0
+    assert {r.score for r in lm.score_texts(docs.limit(5), scratch(spark), "false", order=3).collect()} == {0.0}
+
+
+def test_lm_query_uses_order_three(spark, monkeypatch):
+    d = spark.createDataFrame([(i, "a b c" if i % 2 else "x b d") for i in range(400)] + [(1000, "a b c"), (1001, "a b d")], "doc_id long, text string")
+    monkeypatch.setattr(lm, "table", lambda *a: d)
+    got = {r.doc_id: r.score for r in lm.op8_lm_scoring(spark, "").collect()}
+    assert got[1000] > got[1001] + 0.1
+
+
 def test_decontaminate(spark, none):
     rng = random.Random(8)
     items = [(i, prose(rng, 12 + 3 * i, 3000)) for i in range(12)] + [(50, None), (51, ""), (52, "two words"), (53, "short item of five words")]
