@@ -1,8 +1,8 @@
 """Vectorised work on Arrow string batches: words, their hashes, and distinct shingles.
 
 Everything runs on the UTF-8 bytes of a few MB of text at a time; white space and A-Z are ASCII, so
-no byte of a longer character is touched. Word hashes are differences of a running polynomial sum,
-which costs a few passes over the bytes whatever the words are.
+no byte of a longer character is touched. A word's hash is the mixed sum of its 8-byte blocks, each
+mixed together with its place in the word, so words that differ share a hash by chance of 64 bits only.
 """
 
 from __future__ import annotations
@@ -30,19 +30,26 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _WORD = np.ones(256, dtype=bool)
 _WORD[[ord(c) for c in WHITE]] = False
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_BASE, _INVERSE = 0x9E3779B97F4A7C15, pow(0x9E3779B97F4A7C15, -1, 1 << 64)
 _STEP = mix(np.arange(1001, 1065, dtype=np.uint64)) | U(1)
-_powers: dict[int, np.ndarray] = {}
-
-
-def _power(base: int, n: int) -> np.ndarray:
-    have = _powers.get(base)
-    if have is None or len(have) < n:
-        have = np.full(max(n, CHUNK_BYTES + 1), base, dtype=np.uint64)
-        have[0] = 1
-        _powers[base] = have = np.multiply.accumulate(have)
-    return have[:n]
+_PLACE = U(0xD1B54A32D192ED03)
+_EIGHT = ~U(0)
+
+
+def hash_ranges(buf: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of the byte ranges start .. end - 1 of buf, none of them empty."""
+    padded = np.zeros(len(buf) + 8, np.uint8)
+    padded[: len(buf)] = buf
+    eight = np.ndarray(len(buf) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from each place on
+    n = end - start
+    cut = lambda x, size: x & (_EIGHT >> (U(64) - U(8) * np.minimum(size, 8).astype(np.uint64)))
+    total = mix(cut(eight[start], n) ^ _PLACE)
+    if len(long := np.flatnonzero(n > 8)):
+        more = (n[long] - 1) >> 3  # blocks after the first
+        k = np.arange(int(more.sum())) - np.repeat(np.cumsum(more) - more, more) + 1
+        of = np.repeat(long, more)
+        block = cut(eight[start[of] + 8 * k], n[of] - 8 * k)
+        total[long] += np.add.reduceat(mix(block ^ mix(k.astype(np.uint64) + _PLACE)), np.cumsum(more) - more)
+    return mix(total + n.astype(np.uint64))
 
 
 def flat(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -86,10 +93,7 @@ class Words:
             closes[begin[1:] - 1] = inside[begin[1:] - 1]
             self.start, self.end = np.flatnonzero(opens), np.flatnonzero(closes) + 1
         self.first = np.searchsorted(self.start, at, side="left")
-        n = len(self.buf)
-        total = np.zeros(n + 1, dtype=np.uint64)
-        np.cumsum(_BYTE[self.buf] * _power(_BASE, n), out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * _power(_INVERSE, n + 1)[self.start] + (self.end - self.start).astype(np.uint64))
+        self.hash = hash_ranges(self.buf, self.start, self.end)
 
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(self.n_docs), np.diff(self.first))
