@@ -65,10 +65,10 @@ def copies():
     passage = prose(rng, 12)
     out = {}
     for g in range(2):
-        base = prose(rng, 80).split()
+        base = prose(rng, 120).split()
         for _ in range(25):
             w = list(base)
-            for j in rng.sample(range(80), rng.randrange(5)):
+            for j in rng.sample(range(120), rng.randrange(4)):
                 w[j] = f"edit{rng.randrange(9)}"
             out[len(out)] = f"{' '.join(w)} {passage}"
         out[len(out)] = out[g * 25]
