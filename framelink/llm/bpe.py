@@ -3,20 +3,24 @@
 Texts are cut by the tokenizer's pattern; the different pieces of a few MB of text are encoded
 together. Pieces of like length form one padded matrix of ids. In each round every row merges its
 leftmost pair of least rank, found by argmin over a matrix of pair ranks; the merged slot is
-squeezed out, and only the two ranks beside it are looked up again, in an open-addressing hash
-table in numpy. Rows without a pair to merge leave the matrix. Pieces beyond LONG bytes take the
-same rule on a linked list and a heap, so that a run of 100,000 letters isn't quadratic.
+squeezed out, and only the ranks beside it are looked up again, in an open-addressing hash table in
+numpy. Rows without a pair to merge leave the matrix.
+
+The further places of a row's least pair would be merged in its next rounds, from the left, unless a
+merge makes a pair of lesser rank. So a row takes them all in one round if none of its merges does,
+and its leftmost place alone if one does. Rounds of a piece are then about as many as its different
+merges, not its letters, and a run of 100,000 letters takes few.
 
 The rank file is read on the driver and broadcast: its size is the vocabulary's, not the data's.
-Defined results: a null text is the empty text, with no tokens; rows are independent, so repeated
-rows, ties and null ids give their own rows; other columns are ignored.
+Defined results: a null text is the empty text, with no tokens; a text of any length is encoded
+whole; rows are independent, so repeated rows, ties and null ids give their own rows; an empty table
+gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
 from itertools import chain
 
 import numpy as np
@@ -27,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import ship, table
 from .textnp import chunks
 
-LONG = 256
 CHUNK_BYTES = 1 << 20
-KEEP = 300_000  # pieces remembered by a worker; a cache only
+KEEP_BYTES = 16 << 20  # of pieces that a worker remembers; a cache only
+CELLS = 1 << 21  # of a matrix, or one row
 NONE = np.int32(2**31 - 1)
 
 
@@ -87,6 +91,31 @@ class ByteBPE:
             self.bytes[i] = tok
         self.text = [str(i) for i in range(len(self.bytes))]
         self.known: dict[str, tuple[int, ...]] = {}
+        self.held = 0
+
+    def _places(self, rank: np.ndarray, ids: np.ndarray, at: np.ndarray, best: np.ndarray) -> np.ndarray:
+        """Where each row merges in this round: all places of its least pair, or the leftmost if a merge makes a lesser pair."""
+        n, hit = len(rank), rank == best[:, None]
+        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 1)
+        if not len(many):
+            return hit
+        # Places side by side overlap; of a run of them every other merges, from the left.
+        for r in many[(hit[many, 1:] & hit[many, :-1]).any(axis=1)]:
+            k = np.flatnonzero(hit[r])
+            new = np.flatnonzero(np.concatenate([[True], np.diff(k) > 1]))
+            run = np.arange(len(k)) - np.repeat(new, np.diff(np.append(new, len(k))))
+            hit[r, k[run % 2 == 1]] = False
+        part = np.concatenate([np.zeros((len(many), 2), bool), hit[many], np.zeros((len(many), 3), bool)], axis=1)
+        wide = np.concatenate([np.full((len(many), 2), -1, np.int32), ids[many], np.full((len(many), 2), -1, np.int32)], axis=1)
+        r, c = np.nonzero(part)
+        own = best[many][r]
+        left, right = np.where(part[r, c - 2], own, wide[r, c - 1]), wide[r, c + 2]
+        lesser = (self.pairs(left, own) < own) | (self.pairs(own, right) < own) | (part[r, c + 2] & (self.pairs(own, own) < own))
+        one = np.zeros(n, bool)
+        one[many[r[lesser]]] = True
+        hit[one] = False
+        hit[one, at[one]] = True
+        return hit
 
     def _matrix(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Pieces of like length, each merged to its end."""
@@ -100,68 +129,62 @@ class ByteBPE:
             at = rank.argmin(axis=1) if rank.shape[1] else np.zeros(len(row), np.int64)
             best = rank[np.arange(len(row)), at] if rank.shape[1] else np.full(len(row), NONE)
             done = best == NONE
-            for r, x in zip(row[done].tolist(), ids[done], strict=True):
-                out[r] = tuple(x[x >= 0].tolist())
-            if done.all():
-                return out
-            ids, rank, row, at, best = ids[~done], rank[~done], row[~done], at[~done], best[~done]
-            n, every = len(row), np.arange(len(row))
-            ids[every, at] = best
+            if done.any():
+                for r, x in zip(row[done].tolist(), ids[done], strict=True):
+                    out[r] = tuple(x[x >= 0].tolist())
+                if done.all():
+                    return out
+                ids, rank, row, at, best = ids[~done], rank[~done], row[~done], at[~done], best[~done]
+            hit = self._places(rank, ids, at, best)
+            n, merges = len(row), hit.sum(axis=1)
+            r, c = np.nonzero(hit)
+            ids[r, c] = best[r]
+            # Squeeze the right parts out; rows with fewer merges than others keep padding at their end.
             keep = np.ones(ids.shape, bool)
-            keep[every, at + 1] = False
-            ids = ids[keep].reshape(n, -1)
-            keep = np.ones(rank.shape, bool)
-            keep[every, at] = False
-            rank = rank[keep].reshape(n, -1)
-            before, after = every[at > 0], every[at < rank.shape[1]]
-            rank[before, at[before] - 1] = self.pairs(ids[before, at[before] - 1], ids[before, at[before]])
-            rank[after, at[after]] = self.pairs(ids[after, at[after]], ids[after, at[after] + 1])
-
-    def _heap(self, piece: bytes) -> tuple[int, ...]:
-        ids = self.byte[np.frombuffer(piece, np.uint8)].tolist()
-        n = len(ids)
-        nxt, prev = list(range(1, n + 1)), list(range(-1, n - 1))
-        first = self.pairs(np.array(ids[:-1], np.int32), np.array(ids[1:], np.int32)).tolist()
-        heap = [(r, i, ids[i], ids[i + 1]) for i, r in enumerate(first) if r != NONE]
-        heapq.heapify(heap)
-        one = lambda a, b: int(self.pairs(np.array([a], np.int32), np.array([b], np.int32))[0])
-        while heap:
-            r, i, a, b = heapq.heappop(heap)
-            j = nxt[i]
-            if ids[i] != a or j >= n or ids[j] != b:
-                continue
-            ids[i], ids[j], nxt[i] = r, -1, nxt[j]
-            if nxt[i] < n:
-                prev[nxt[i]] = i
-                if (x := one(r, ids[nxt[i]])) != NONE:
-                    heapq.heappush(heap, (x, i, r, ids[nxt[i]]))
-            if prev[i] >= 0 and (x := one(ids[prev[i]], r)) != NONE:
-                heapq.heappush(heap, (x, prev[i], ids[prev[i]], r))
-        return tuple(x for x in ids if x >= 0)
+            keep[r, c + 1] = False
+            to = c - (np.arange(len(r)) - np.repeat(np.cumsum(merges) - merges, merges))  # of the merged id in the squeezed row
+            if (merges == merges[0]).all():
+                ids, old = ids[keep].reshape(n, -1), rank
+                keep = np.ones(old.shape, bool)
+                keep[r, c] = False
+                rank = old[keep].reshape(n, -1)
+            else:
+                left = ids.shape[1] - int(merges.min())
+                size = ids.shape[1] - merges
+                squeezed, ranks = np.full((n, left), -1, np.int32), np.full((n, left - 1), NONE, np.int32)
+                squeezed[np.arange(left) < size[:, None]] = ids[keep]
+                keep = np.ones(rank.shape, bool)
+                keep[r, c] = False
+                ranks[np.arange(left - 1) < size[:, None] - 1] = rank[keep]
+                ids, rank = squeezed, ranks
+            before, after = to > 0, to < rank.shape[1]
+            rank[r[before], to[before] - 1] = self.pairs(ids[r[before], to[before] - 1], ids[r[before], to[before]])
+            rank[r[after], to[after]] = self.pairs(ids[r[after], to[after]], ids[r[after], to[after] + 1])
 
     def learn(self, pieces) -> None:
         """Encode pieces that aren't remembered."""
         groups: dict[int, list[tuple[str, bytes]]] = {}
         for p in pieces:
             b = p.encode("utf-8", "surrogatepass")
+            self.held += len(b) + 100
             whole = self.ranks.get(b)
             if whole is not None:
                 self.known[p] = (whole,)
-            elif len(b) > LONG:
-                self.known[p] = self._heap(b)
             else:
                 groups.setdefault((len(b) - 1).bit_length(), []).append((p, b))
-        for g in groups.values():
-            for lo in range(0, len(g), 8192):
-                part = g[lo : lo + 8192]
+        for bits, g in groups.items():
+            step = max(1, CELLS >> max(bits, 8))
+            for lo in range(0, len(g), step):
+                part = g[lo : lo + step]
                 for (p, _), ids in zip(part, self._matrix([b for _, b in part]), strict=True):
                     self.known[p] = ids
 
     def encode_all(self, texts: list[str]):
         """The ids of each text."""
         cut = [self.split(t) for t in texts]
-        if len(self.known) > KEEP:
+        if self.held > KEEP_BYTES:
             self.known.clear()
+            self.held = 0
         self.learn(set().union(*cut).difference(self.known))
         get = self.known.__getitem__
         for c in cut:

@@ -1,14 +1,17 @@
 """Document fingerprints: one-permutation MinHash with optimal densification, packed to b bits.
 
 Every distinct five-word shingle is hashed once; the top bits of the hash deal it to one of 256
-bins and each bin keeps its least hash. An empty bin takes the value of a filled one, found by
-hashing (bin, attempt), so that equal sets probe alike. The low four bits of each bin are packed,
-one hex digit a bin. Likeness is the share of equal digits, corrected for the 1/16 that agree by
-chance, and cut to 0..1.
+bins and each bin keeps its least hash. An empty bin probes a fixed sequence of bins of its own
+until it meets a filled one, the same in all texts: some bins drawn by hashing (bin, attempt), and
+then all bins in an order of its own, so it always meets one. It hashes the value found with its own
+number, so that bins which copy one value are as independent as others. The low four bits of each bin
+are packed, one hex digit a bin. Likeness is the share of equal digits, corrected for the 1/16 that
+agree by chance, and cut to 0..1.
 
 Defined results: a text with fewer than five words is one shingle; a text without words has the
-fingerprint of all zeros; rows without doc_id have no result; rows that repeat doc_id and text give
-equal rows; other columns are ignored.
+fingerprint of all zeros, which no other text has but by a chance of 16^-256; a text of any length
+counts whole; rows without doc_id have no result; rows that repeat doc_id and text give equal rows;
+an empty table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import SHINGLE, Scratch, let, shuffle_partitions, table, words
 
 BINS = 256
-PROBES = 24
+DRAWN = 24  # probes by hash before the ordered ones
 REST = (1 << 56) - 1  # a bin's largest hash stands for "empty"
 
 
@@ -40,12 +43,16 @@ def fingerprint(text: Column) -> Column:
         return F.filter(s, lambda x, i: (i == 0) | (bin_of(x) != bin_of(F.get(s, i - 1))))
 
     def packed(e: Column) -> Column:
-        def filled(x: Column, b: Column) -> Column:
-            probe = F.aggregate(F.sequence(F.lit(1), F.lit(PROBES)), F.lit(None).cast("bigint"), lambda acc, t: F.coalesce(acc, F.get(e, F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int"))))
-            around = F.get(F.filter(F.concat(F.slice(e, b + 1, F.lit(BINS)), e), lambda v: v.isNotNull()), F.lit(0))
-            return F.lower(F.hex(F.coalesce(x, probe, around, F.lit(0).cast("bigint")).bitwiseAND(15)))
+        digit = lambda x: F.lower(F.hex(x.bitwiseAND(15)))
+        drawn = lambda b: F.aggregate(F.sequence(F.lit(1), F.lit(DRAWN)), F.lit(None).cast("bigint"), lambda acc, t: F.coalesce(acc, F.get(e, F.pmod(F.xxhash64(b, t), F.lit(BINS)).cast("int"))))
+        # The first filled bin in b's order of all bins is the one with the least hash of (b, bin).
+        in_order = lambda b, filled: F.array_min(F.transform(filled, lambda j: F.struct(F.xxhash64(b, j, F.lit(0)), F.get(e, j).alias("x"))))["x"]
 
-        return F.array_join(F.transform(e, filled), "")
+        def dense(filled: Column) -> Column:
+            copied = lambda b: F.xxhash64(F.coalesce(drawn(b), in_order(b, filled)), b)
+            return F.when(F.size(filled) > 0, F.array_join(F.transform(e, lambda x, b: digit(F.coalesce(x, copied(b)))), "")).otherwise(F.lit("0" * BINS))
+
+        return let(F.filter(F.transform(e, lambda x, b: F.when(x.isNotNull(), b)), lambda b: b.isNotNull()), dense)
 
     mins = let(F.sort_array(F.concat(shingle_hashes(text), empty)), least)
     return let(F.transform(mins, lambda x: F.when(x.bitwiseAND(REST) != REST, x)), packed)
