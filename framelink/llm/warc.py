@@ -10,7 +10,9 @@ one, else Last-Modified if both have it, else payload digests. Header fields of
 Defined results: a response's outcome is `full`; a revisit's is `resolved`, `mismatch`,
 `no_validator` or `no_earlier`; equal times aren't earlier, and of responses at one time the
 greatest record_id counts; rows without record_id have no result; without URL or time they have
-outcome `no_earlier`; repeated rows give repeated results; other columns are ignored.
+outcome `no_earlier`; null headers are none; header names are lower-cased, and of names that differ in
+case only the last in order of code points counts; values of any length are kept whole; repeated
+rows give repeated results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Scratch, shuffle_partitions, table
+from .common import Scratch, let, shuffle_partitions, table
 
 # Header fields of a stored response that a 304 may not replace.
 FIXED_HEADERS = ("connection", "content-encoding", "content-length", "content-range", "content-type", "keep-alive", "proxy-authenticate", "proxy-authorization", "te", "trailer", "transfer-encoding", "upgrade")
@@ -39,6 +41,13 @@ def merged_headers(stored: Column, update: Column) -> Column:
     return F.map_concat(F.map_filter(stored, lambda k, v: ~F.map_contains_key(allowed, k)), allowed)
 
 
+def lower_names(headers: Column) -> Column:
+    """Header fields by lower-case name; of names that differ in case only, the last in order of code points counts."""
+    fields = F.array_sort(F.transform(F.map_entries(headers), lambda e: F.struct(F.lower(e["key"]).alias("name"), e["key"].alias("as_sent"), e["value"].alias("value"))))
+    last = lambda f: F.filter(f, lambda e, i: F.coalesce(F.get(f, i + 1)["name"] != e["name"], F.lit(True)))
+    return F.map_from_entries(F.transform(let(fields, last), lambda e: F.struct(e["name"], e["value"])))
+
+
 def _strong(tag: Column) -> Column:
     return F.regexp_replace(tag, "^W/", "")
 
@@ -49,7 +58,7 @@ def resolve_revisits(captures: DataFrame, scratch: Scratch) -> DataFrame:
     Returns record_id, canonical_url, outcome, base_id, headers: those of the response, merged for resolved revisits.
     """
     empty = F.create_map().cast("map<string,string>")
-    rows = captures.where("record_id IS NOT NULL").select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", F.coalesce(F.transform_keys("headers", lambda k, v: F.lower(k)), empty).alias("headers"))
+    rows = captures.where("record_id IS NOT NULL").select("record_id", canonical_url(F.col("url")).alias("canonical_url"), "ts", "kind", "etag", "last_modified", "digest", F.coalesce(lower_names(F.col("headers")), empty).alias("headers"))
     dealt = scratch.save(rows.repartitionByRange(shuffle_partitions(captures.sparkSession), "canonical_url", "ts").withColumn("part", F.spark_partition_id()), "captures")
     full = F.when(F.col("kind") == "response", F.struct("ts", "record_id", "etag", "last_modified", "digest", F.to_json("headers").alias("headers")))
     # A capture's earlier ones are those of a lower time, so a frame over time, not over rows.
