@@ -6,8 +6,11 @@ takes the first document of every run; runs that cross a partition border, at mo
 partition, are stitched from a table of borders. What comes back is a sparse bitmap of dropped
 lines for each document, not text.
 
-Defined results: a null or empty text is one empty line; a row without doc_id takes no part and
-keeps all its lines; rows that repeat a doc_id count as one document; other columns pass through.
+Defined results: a null or empty text is one empty line; a text of any length counts whole; a row
+without doc_id takes no part and keeps all its lines; rows that repeat a doc_id count as one
+document; a line that stands more than once in the document that keeps it stays each time; an
+empty table gives an empty result; other columns pass through, but those named __n_lines, __n_dropped
+or __kept are replaced.
 """
 
 from __future__ import annotations
@@ -44,8 +47,10 @@ def line_bitmaps(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text
         .where(F.length("key") >= min_points)
         .select("doc_id", "text_hash", "pos", F.xxhash64("key").alias("h1"), F.xxhash64(F.lit(7), "key").alias("h2"))
     )
+    rows = scratch.save(rows, "hashes")  # the sample for the ranges and the ranges themselves read hashes, not texts
     dealt = rows.repartitionByRange(shuffle_partitions(spark), "h1", "h2", F.desc("doc_id"), "pos")
     dealt = scratch.save(dealt.withColumn("part", F.spark_partition_id()), "lines")
+    scratch.drop("hashes")
 
     run = Window.partitionBy("part", "h1", "h2")
     ordered = run.orderBy(F.desc("doc_id"), "pos")
@@ -90,10 +95,12 @@ def kept_text(text: Column, drop_words: Column) -> Column:
 
 
 def dedup_lines(docs: DataFrame, scratch: Scratch, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """docs with text_col replaced by its kept lines, and n_lines and n_dropped added under those names with a prefix."""
-    maps = line_bitmaps(docs, scratch, id_col, text_col).select(F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), "n_dropped", "drop_words").withColumnsRenamed({"n_dropped": "__n_dropped", "drop_words": "__drop_words"})
-    out = docs.join(maps, (F.col(id_col) == F.col("__id")) & (text_key(F.col(text_col)) == F.col("__hash")), "left")
-    return out.withColumns({"__n_lines": F.size(lines_of(F.col(text_col))).cast("long"), "__n_dropped": F.coalesce("__n_dropped", F.lit(0).cast("long")), "__kept": kept_text(F.col(text_col), F.col("__drop_words"))}).drop("__id", "__hash", "__drop_words")
+    """docs with __n_lines (before dropping), __n_dropped and __kept, the text of the lines that stay."""
+    docs = docs.drop("__n_lines", "__n_dropped", "__kept")
+    maps = line_bitmaps(docs, scratch, id_col, text_col).alias("m")
+    text = F.col(f"d.{text_col}")
+    out = docs.alias("d").join(maps, (F.col(f"d.{id_col}") == F.col("m.doc_id")) & (text_key(text) == F.col("m.text_hash")), "left")
+    return out.select("d.*", F.size(lines_of(text)).cast("long").alias("__n_lines"), F.coalesce("m.n_dropped", F.lit(0).cast("long")).alias("__n_dropped"), kept_text(text, F.col("m.drop_words")).alias("__kept"))
 
 
 def op3_line_dedup(spark, sf_dir) -> DataFrame:
