@@ -1,14 +1,18 @@
 """Language ID by hyperdimensional profiles.
 
-Each letter class has a random vector of +1 and -1. A trigram's vector binds (multiplies) its three
+Each letter has a random vector of +1 and -1. A trigram's vector binds (multiplies) its three
 letters' vectors, the second rotated by one place and the third by two. A text bundles (adds) its
 trigrams' vectors; a language's prototype bundles the unit vectors of its training texts. A text
-goes to the prototype with the greatest cosine, which is also its score, cut to 0..1.
-
-Learning takes at most MAX_TRAIN labelled texts, chosen by a hash of the id; sums are of integers,
-so they don't depend on the order of tasks. Defined results: null texts, texts without a letter, and
-all texts when nothing was learned, are `und` with score 0; equal cosines go to the first language
-in alphabetical order; rows are independent of each other; other columns are ignored.
+goes to the prototype with the greatest cosine, which is also its score, cut to 0..1. Vectors of
+different trigrams are made in blocks, so a text of many trigrams needs no more memory than others.
+
+Learning takes about MAX_TRAIN labelled texts (their expected number), chosen by a hash of the id:
+each language has its share of them, and LEAST_TRAIN or all that it has, so rare languages are learned
+too. Sums are of integers, so they don't depend on the order of tasks. Defined results: null and empty
+texts, texts without a letter, and all texts when nothing was learned, are `und` with score 0; a text
+of any length counts whole; equal cosines go to the first language in alphabetical order; rows are
+independent, so repeated rows give equal rows; an empty table gives an empty result; other columns
+pass through, but those named lang_pred or score are replaced.
 """
 
 from __future__ import annotations
@@ -23,9 +27,10 @@ from .common import crc32_id, ship, table
 from .textnp import chunks
 
 DIM = 1024
-CLASSES = 1024
-DIRECT = 0x250  # letters below have a class of their own
-MAX_TRAIN = 20_000
+CLASSES = 1 << 14
+DIRECT = 0x3000  # letters below have a class of their own
+MAX_TRAIN, LEAST_TRAIN = 20_000, 200
+BLOCK = 4096  # trigrams
 CHUNK_BYTES = 1 << 20
 UNIT = 1 << 20
 UND = "und"
@@ -43,7 +48,7 @@ def _setup() -> list[np.ndarray]:
                 low = c.lower()
                 k = ord(low) if len(low) == 1 else i
                 cls[i] = k if k < DIRECT else DIRECT + k % (CLASSES - DIRECT)
-        v = np.random.default_rng(7).integers(0, 2, (CLASSES, DIM)).astype(np.float32) * 2 - 1
+        v = np.random.default_rng(7).integers(0, 2, (CLASSES, DIM), np.int8) * np.int8(2) - np.int8(1)
         _tables.extend([cls, v, np.roll(v, 1, axis=1), np.roll(v, 2, axis=1)])
     return _tables
 
@@ -62,24 +67,31 @@ def profiles(texts: list[str | None]):
     after[np.searchsorted(doc, np.arange(len(texts)))] = True
     kind, doc = kind[after], doc[after]
     whole = np.flatnonzero(doc[:-2] == doc[2:])
-    code, count = np.unique(doc[whole] << 30 | kind[whole] << 20 | kind[whole + 1] << 10 | kind[whole + 2], return_counts=True)
-    owner, gram = code >> 30, code & (1 << 30) - 1
+    code, count = np.unique(doc[whole] << 42 | kind[whole] << 28 | kind[whole + 1] << 14 | kind[whole + 2], return_counts=True)
+    owner, gram = code >> 42, code & (1 << 42) - 1
     known, at = np.unique(gram, return_inverse=True)
-    vectors = a[known >> 20] * b[known >> 10 & 1023] * c[known & 1023]
     out = np.zeros((len(texts), DIM), np.float32)
-    ends = np.searchsorted(owner, np.arange(len(texts) + 1))
-    for d in np.flatnonzero(np.diff(ends)):
-        part = slice(ends[d], ends[d + 1])
-        out[d] = count[part].astype(np.float32) @ vectors[at[part]]
+    order = np.argsort(at // BLOCK, kind="stable")  # by block of trigrams, then by text
+    owner, at, count = owner[order], at[order], count[order].astype(np.float32)
+    cuts = np.searchsorted(at // BLOCK, np.arange(-(-len(known) // BLOCK) + 1))
+    for lo, hi in zip(cuts[:-1], cuts[1:], strict=True):
+        part = known[(base := int(at[lo]) // BLOCK * BLOCK) : base + BLOCK]
+        vectors = (a[part >> 28] * b[part >> 14 & CLASSES - 1] * c[part & CLASSES - 1]).astype(np.float32)
+        ends = np.flatnonzero(np.concatenate([[True], owner[lo + 1 : hi] != owner[lo : hi - 1], [True]])) + lo
+        for i, j in zip(ends[:-1], ends[1:], strict=True):
+            out[owner[i]] += count[i:j] @ vectors[at[i:j] - base]
     return some, out
 
 
 def learn(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], np.ndarray]:
     """labelled: doc_id, text, lang without nulls. Languages and their unit prototypes."""
     ship(labelled.sparkSession)
-    n = labelled.select("doc_id").count()
+    counts = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}  # a row for each language
+    n = sum(counts.values())
     if n > max_train:
-        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * max_train / n))
+        share = lambda k: min(1.0, max(max_train / n, LEAST_TRAIN / k))
+        share_of = F.create_map(*[F.lit(x) for lang, k in sorted(counts.items()) for x in (lang, int((1 << 30) * share(k)))])
+        labelled = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < share_of[F.col("lang")])
 
     def run(batches):
         sums: dict[str, np.ndarray] = {}
@@ -101,8 +113,9 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], n
 
 
 def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col: str = "text") -> DataFrame:
-    """docs with lang_pred and score after its own columns."""
+    """docs with lang_pred and score after its own columns; columns of these names are replaced."""
     ship(docs.sparkSession)
+    docs = docs.drop("lang_pred", "score")
     names = np.array([*langs, UND], dtype=object)
     place = docs.columns.index(text_col)
 
