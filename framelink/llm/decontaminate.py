@@ -1,17 +1,20 @@
 """Benchmark decontamination: rare word trigrams seed an alignment of passages with test items.
 
-Document frequencies of the benchmark's trigrams are counted over the whole corpus; each item's
-rarer three quarters are its seeds, a relative rule, so an item that leaked into a third of all
+Document frequencies of the benchmark's trigrams are counted over the whole corpus; the rarer three
+quarters of each SEGMENT of an item are its seeds, a relative rule, so an item that leaked into a third of all
 texts still has them. Seed hits of a text and an item that lie close form one window, and
 Smith-Waterman over words (match 2, mismatch and gap -1) scores the window: one DP row at a time for
 many windows at once, with gaps resolved by a running maximum. A hit is a leak if the score is at
-least MIN_SCORE of what the whole item could reach, so edited and partial copies count.
+least MIN_SCORE of what the whole item could reach, so edited and partial copies count, or what RUN
+words copied exactly reach, however long the item is.
 
-Items are sent to all tasks in blocks of at most BLOCK_CHARS; a larger benchmark takes more passes
+Items are broadcast in blocks of at most BLOCK_CHARS of text; a larger benchmark takes more passes
 over the corpus. Words are runs of letters, digits and bytes beyond ASCII, with A-Z lower-cased.
 Defined results: null or empty texts and items, and items below three words, match nothing; items
-below eight words must match to SHORT_SCORE; a row without doc_id has no result; repeated rows give
-repeated results; equal best windows give the first; other columns are ignored.
+below eight words must match to SHORT_SCORE; a text of any length is searched whole; a row without
+doc_id or item_id has no result; repeated rows give repeated results; rows that share an item_id are
+items of their own, of which equal ones give equal results; equal best windows give the first; an
+empty table on either side gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,6 +31,8 @@ GRAM = 3
 MIN_SCORE = 0.4
 SHORT_WORDS, SHORT_SCORE = 8, 0.9
 RARE = 0.75
+RUN = 50  # words
+SEGMENT = 48  # trigrams, as many as RUN words have
 BLOCK_CHARS = 16 << 20
 CELLS = 1 << 20
 
@@ -50,12 +55,12 @@ class Items:
         self.seed = np.ones(len(self.of), bool)
 
     def keep_rare(self, df: np.ndarray) -> None:
-        """Of each item's trigrams, those among its rarest RARE."""
-        for i in range(len(self.ids)):
-            own = np.flatnonzero(self.item == i)
-            if len(own):
-                order = own[np.lexsort((self.gram[self.of[own]], df[self.of[own]]))]
-                self.seed[order[int(np.ceil(RARE * len(own))) :]] = False
+        """Of each SEGMENT trigrams of an item, the rarest RARE are seeds, so a run copied from any part of a long item has some."""
+        part = np.unique(self.item << 32 | self.pos // SEGMENT, return_inverse=True)[1]
+        order = np.lexsort((self.gram[self.of], df[self.of], part))
+        n = np.bincount(part)
+        place = np.arange(len(order)) - np.repeat(np.cumsum(n) - n, n)  # in the order of its part
+        self.seed[order] = place < np.ceil(RARE * n)[part[order]]
 
     def hits(self, w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(text, word position, trigram number) of every trigram that the block has."""
@@ -137,7 +142,7 @@ def find(w: Words, items: Items) -> list[tuple[int, int, float, int, int, int]]:
     for k, f in enumerate(first):
         n = int(items.n[item[f]])
         share = float(score[k]) / (2 * n)
-        if share >= (MIN_SCORE if n >= SHORT_WORDS else SHORT_SCORE):
+        if share >= (MIN_SCORE if n >= SHORT_WORDS else SHORT_SCORE) or score[k] >= 2 * RUN:
             key, got = (int(d[f]), int(item[f])), (share, int(at0[k] + start[k]), int(at0[k] + end[k]), int(last[k] - f + 1))
             if key not in best or got[0] > best[key][0]:
                 best[key] = got
@@ -158,18 +163,24 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         rows = benchmark.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == k).orderBy("item_id", "text").collect()
         items = Items([r["item_id"] for r in rows], [r["text"] for r in rows])
 
-        def count(batches, items=items):
+        if not len(items.gram):
+            continue
+        counted = spark.sparkContext.broadcast(items)
+
+        def count(batches, sent=counted):
+            items = sent.value
             df = np.zeros(len(items.gram), np.int64)
             for b in batches:
                 for lo, hi in chunks(b.column(0)):
                     doc, _, at = items.hits(Words(b.column(0).slice(lo, hi - lo), WORD_BYTES))
-                    df += np.bincount(np.unique(doc * len(df) + at) % max(1, len(df)), minlength=len(df))
+                    df += np.bincount(np.unique(doc * len(df) + at) % len(df), minlength=len(df))
             some = np.flatnonzero(df)
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "df"])
 
         df = np.zeros(len(items.gram), np.int64)
-        for r in docs.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).collect() if len(df) else []:
-            df[r["gram"]] = r["df"]
+        sums = docs.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # a row for each trigram of the block at most
+        df[sums.column("gram").to_numpy()] = sums.column("df").to_numpy()
+        counted.destroy()
         items.keep_rare(df)
         sent = spark.sparkContext.broadcast(items)
 
@@ -177,14 +188,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             items = sent.value
             for b in batches:
                 for lo, hi in chunks(b.column(1)):
-                    found = find(Words(b.column(1).slice(lo, hi - lo), WORD_BYTES), items) if len(items.gram) else []
+                    found = find(Words(b.column(1).slice(lo, hi - lo), WORD_BYTES), items)
                     if found:
                         doc, item, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(items.ids[list(item)]), *map(pa.array, rest)], ["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
 
         part = docs.mapInArrow(run, schema)
         out = part if out is None else out.unionByName(part)
-    return out
+    return spark.createDataFrame([], schema) if out is None else out
 
 
 def op9_decontaminate(spark, sf_dir) -> DataFrame:
