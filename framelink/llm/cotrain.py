@@ -1,17 +1,23 @@
 """Quality classifier by co-training two views of a page.
 
-The text view is a logistic model over hashed byte trigrams of the lower-cased text; the metadata
-view is one over language, source, length and layout (lines, word length, shares of capitals,
-digits, marks and spaces). In each round both are fitted and each hands the unlabelled texts it is
-surest of, in the labelled classes' proportion, to the other as pseudo-labels. Each view is then
-calibrated (Platt) on labelled texts held back from fitting, their log odds are averaged, and all
-documents are scored by two linear passes over their bytes.
-
-Fitting takes at most MAX_LABELLED labelled and MAX_POOL unlabelled texts, chosen by a hash of the
-id; scoring covers every whole text. Defined results: null texts are empty, null language, source
-and length have a value of their own; a row without doc_id is scored but never fitted; of repeated
-labels of one id the greatest counts, nulls not at all; with labels of one class only, or none, both
-views return that class's share, and 0.5 without any; other columns are ignored.
+The text view is naive Bayes over hashed byte trigrams of the lower-cased text, each text counting
+once whatever its length; the metadata view is naive Bayes over language, source, length and layout
+(lines, word length, shares of capitals, digits, marks and spaces) in steps. Both start from labelled
+texts. In each round every unlabelled text of the table is scored by both, and each view hands all
+texts that it is SURE of to the other as pseudo-labels. A view is its classes' sums, so a round is one
+pass whose sums Spark adds up, and what the pseudo-labels amount to grows with the table. In a class
+they weigh as much as its labelled texts together, or less if they are fewer. Each view is calibrated
+(Platt) on labelled texts held back from its sums, their log odds are averaged, and one last pass
+scores all texts.
+
+About MAX_LABELLED labelled texts (their expected number), chosen by a hash of the id, are labelled
+here; all other texts count as unlabelled, with no bound on them. Sums are of integers, so they don't
+depend on the order of tasks. Defined results: null texts are empty, null language, source and
+length have a value of their own; a text of any length counts whole; a row without doc_id is scored
+and can be pseudo-labelled, but never is labelled; of repeated labels of one id the greatest counts,
+nulls not at all; repeated rows count and are scored each; with labels of one class only, or none,
+both views return that class's share, and 0.5 without any; a probability of KEEP_AT is kept; an empty
+table gives an empty result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,9 +32,11 @@ from .textnp import chunks, flat
 
 BUCKETS = 4096
 LANGS, SOURCES = 16, 32
-MAX_LABELLED, MAX_POOL = 3000, 3000
-ROUNDS, PER_ROUND = 5, 60
+MAX_LABELLED = 3000
+ROUNDS, SURE = 3, 0.95
 KEEP_AT = 0.5
+UNIT = 1 << 28  # of a text's trigrams in the sums
+SMOOTH = 1e-6  # of a text's share of a trigram
 
 _LOWER = np.arange(256, dtype=np.int64)
 _LOWER[65:91] += 32
@@ -36,7 +44,9 @@ _KIND = np.zeros(256, np.int64)  # 0: letters and bytes beyond ASCII
 _KIND[65:91], _KIND[48:58] = 1, 2
 _KIND[[*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]] = 3
 _KIND[[9, 11, 12, 13, 32]], _KIND[10] = 4, 5
-META = 9 + LANGS + SOURCES
+# Layout: log of bytes, of lines, of bytes a line, word length, shares of capitals, digits, marks and spaces; each from 0 to its bound in STEPS.
+LAYOUT, STEPS = (14.0, 8.0, 10.0, 2.0, 0.5, 0.5, 0.5, 0.6), 32
+META = len(LAYOUT) * STEPS + LANGS + SOURCES
 
 
 def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -51,18 +61,17 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def metadata(texts: pa.Array, lang: pa.Array, source: pa.Array) -> np.ndarray:
+    """The numbers, below META, of each text's values."""
     raw, at = flat(texts)
     n = np.diff(at)
     doc = np.repeat(np.arange(len(texts)), n)
     kind = np.bincount(doc * 6 + _KIND[raw], minlength=6 * len(texts)).reshape(-1, 6)
     size = np.maximum(n, 1)
     lines, spaces = kind[:, 5] + 1, kind[:, 4] + kind[:, 5] + 1
-    layout = [np.log1p(n), np.log1p(lines), np.log1p(n / lines), n / spaces / 10, *(kind[:, k] / size for k in (1, 2, 3, 4)), np.ones(len(n))]
-    out = np.zeros((len(n), META), np.float32)
-    out[:, :9] = np.stack(layout, axis=1)
-    out[np.arange(len(n)), 9 + hashed(lang, LANGS)] = 1
-    out[np.arange(len(n)), 9 + LANGS + hashed(source, SOURCES)] = 1
-    return out
+    layout = np.stack([np.log1p(n), np.log1p(lines), np.log1p(n / lines), n / spaces / 10, *(kind[:, k] / size for k in (1, 2, 3, 4))], axis=1)
+    step = np.clip((layout / np.array(LAYOUT) * STEPS).astype(np.int64), 0, STEPS - 1) + np.arange(len(LAYOUT)) * STEPS
+    first = len(LAYOUT) * STEPS
+    return np.column_stack([step, first + hashed(lang, LANGS), first + LANGS + hashed(source, SOURCES)])
 
 
 def hashed(values: pa.Array, buckets: int) -> np.ndarray:
@@ -70,24 +79,25 @@ def hashed(values: pa.Array, buckets: int) -> np.ndarray:
     return np.array([known[v] if v in known else known.setdefault(v, 0 if v is None else 1 + int(sum((i + 1) * b for i, b in enumerate(v.encode())) % (buckets - 1))) for v in values.to_pylist()], np.int64).reshape(-1)
 
 
-class Linear:
-    """Logistic regression by gradient descent on standardised columns, folded back to plain weights."""
+class Sums:
+    """Of one view: texts, and the sums of their values, in each of two classes."""
 
-    def __init__(self, x: np.ndarray, y: np.ndarray, decay: float = 0.01, steps: int = 120):
-        mean, std = x.mean(axis=0), x.std(axis=0)
-        scale = np.where(std > 1e-9, 1 / np.maximum(std, 1e-9), 0).astype(np.float32)
-        z = (x - mean) * scale
-        w, b = np.zeros(x.shape[1], np.float32), float(np.log((y.mean() + 1e-3) / (1 - y.mean() + 1e-3)))
-        rate = 4 / max(1.0, float((z**2).sum(axis=1).mean()))
-        weight = np.where(y > 0, 0.5 / max(y.mean(), 1e-3), 0.5 / max(1 - y.mean(), 1e-3)).astype(np.float32)
-        for _ in range(steps):
-            g = weight * (1 / (1 + np.exp(-np.clip(z @ w + b, -30, 30))) - y)
-            w -= rate * (z.T @ g / len(y) + decay * w)
-            b -= rate * float(g.mean())
-        self.w, self.b = w * scale, b - float((w * scale * mean).sum())
+    def __init__(self, width: int, values: np.ndarray | None = None):
+        self.values = np.zeros((2, width + 1), np.int64) if values is None else values  # the last column counts texts
 
-    def __call__(self, x: np.ndarray) -> np.ndarray:
-        return x @ self.w + self.b
+    def add(self, cls: int, texts: int, at: np.ndarray, weight: np.ndarray | None = None) -> None:
+        self.values[cls, -1] += texts
+        self.values[cls, :-1] += np.bincount(at, weight, minlength=self.values.shape[1] - 1).astype(np.int64)
+
+
+def log_ratios(labelled: np.ndarray, more: np.ndarray, unit: int, smooth: float) -> np.ndarray:
+    """Log of how much likelier each value is in class 1; `more` has the pseudo-labelled sums."""
+    share = []
+    for c in (0, 1):
+        scale = min(1.0, labelled[c, -1] / more[c, -1]) if more[c, -1] else 0.0
+        total = labelled[c] + scale * more[c]
+        share.append((total[:-1] / unit + smooth * total[-1]) / total[-1])
+    return np.log(share[1] / share[0])
 
 
 def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
@@ -101,84 +111,117 @@ def platt(s: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return a / d, b - a * m / d
 
 
-def cotrain(text: np.ndarray, meta: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, per_round: int = PER_ROUND):
-    """Two fitted views with their calibrations, from labelled rows (y 0 or 1) and unlabelled rows (y -1)."""
-    known = np.flatnonzero(y >= 0)
-    if len(set(y[known].tolist())) < 2:
-        share = float(y[known].mean()) if len(known) else 0.5
+def text_score(w: np.ndarray, doc: np.ndarray, bucket: np.ndarray, n: np.ndarray, times=1) -> np.ndarray:
+    return np.bincount(doc, w[bucket] * times, minlength=len(n)) / np.maximum(n, 1)
+
+
+def cotrain(y: np.ndarray, doc: np.ndarray, bucket: np.ndarray, times: np.ndarray, n: np.ndarray, meta: np.ndarray, unlabelled, rounds: int = ROUNDS):
+    """From labelled texts (y, trigrams as doc, bucket and times, their number n, metadata): weights and offset of both views, calibrated. unlabelled(models) gives the sums (text, meta) of the texts that the other view is sure of."""
+    if len(set(y.tolist())) < 2:
+        share = float(y.mean()) if len(y) else 0.5
         odds = float(np.log((share + 1e-3) / (1 - share + 1e-3)))
-        return [(np.zeros(v.shape[1], np.float32), odds) for v in (text, meta)]
-    held = known[np.arange(len(known)) % 4 == 3]
-    fit = np.setdiff1d(known, held)
-    if len(set(y[held].tolist())) < 2 or len(set(y[fit].tolist())) < 2:
-        fit = held = known
-    views, labels = (text, meta), [{int(i): float(y[i]) for i in fit} for _ in range(2)]
-    pool, share = set(np.flatnonzero(y < 0).tolist()), float(y[fit].mean())
-    models = []
+        return [(np.zeros(width), odds) for width in (BUCKETS, META)]
+    held = np.arange(len(y)) % 4 == 3
+    if len(set(y[held].tolist())) < 2 or len(set(y[~held].tolist())) < 2:
+        held, fit = np.ones(len(y), bool), np.ones(len(y), bool)
+    else:
+        fit = ~held
+    text, tags = Sums(BUCKETS), Sums(META)
+    for c in (0, 1):
+        own = fit & (y == c)
+        text.add(c, own.sum(), bucket[own[doc]], np.rint(UNIT * times[own[doc]] / n[doc[own[doc]]]))
+        tags.add(c, own.sum(), meta[own].ravel())
+    more = (np.zeros_like(text.values), np.zeros_like(tags.values))
     for k in range(rounds + 1):
-        models = [Linear(v[list(own)], np.array(list(own.values()), np.float32)) for v, own in zip(views, labels, strict=True)]
-        if k == rounds or not pool:
-            break
-        for teacher in (0, 1):
-            left = np.array(sorted(pool), np.int64)
-            if not len(left):
-                break
-            s = models[teacher](views[teacher][left])
-            order = np.argsort(s, kind="stable")
-            n_good = max(1, round(per_round * share))
-            for i, value in [*((i, 0.0) for i in left[order[: max(1, per_round - n_good)]]), *((i, 1.0) for i in left[order[::-1][:n_good]])]:
-                if int(i) in pool:
-                    labels[1 - teacher][int(i)] = value
-                    pool.discard(int(i))
-    out = []
-    for v, model in zip(views, models, strict=True):
-        a, b = platt(model(v[held]), y[held].astype(float))
-        out.append((model.w * a, model.b * a + b))
-    return out
+        wt, wm = log_ratios(text.values, more[0], UNIT, SMOOTH), log_ratios(tags.values, more[1], 1, 0.01)
+        models = []
+        for w, s in ((wt, text_score(wt, doc, bucket, n, times)), (wm, wm[meta].sum(axis=1))):
+            a, b = platt(s[held], y[held].astype(float))
+            models.append((w * a, b))
+        if k < rounds:
+            more = unlabelled(models)
+    return models
 
 
 def _columns(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"))
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, max_pool: int = MAX_POOL):
-    ship(docs.sparkSession)
-    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
-    part = lambda n, most: F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, most / max(n, 1)))
-    chosen = labels.where(part(labels.count(), max_labelled))  # max_labelled rows, in expectation
-    rows = _columns(docs).where("doc_id IS NOT NULL")
-    some = rows.join(F.broadcast(chosen), "doc_id").unionByName(rows.where(part(rows.select("doc_id").count(), max_pool)).join(labels.select("doc_id"), "doc_id", "left_anti").withColumn("y", F.lit(-1)))
+def _pieces(batches):
+    """doc_id (or None), texts, trigrams, metadata of a few MB at a time."""
+    for b in batches:
+        col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
+        for lo, hi in chunks(col["text"]):
+            cut = {k: c.slice(lo, hi - lo) for k, c in col.items()}
+            yield cut, *trigrams(cut["text"]), metadata(cut["text"], cut["lang"], cut["source"])
 
-    def run(batches):
-        for b in batches:
-            col = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            for lo, hi in chunks(col["text"]):
-                cut = {k: c.slice(lo, hi - lo) for k, c in col.items()}
-                doc, bucket, n = trigrams(cut["text"])
-                x = np.bincount(doc * BUCKETS + bucket, minlength=(hi - lo) * BUCKETS).reshape(-1, BUCKETS) / np.maximum(n, 1)[:, None]
-                meta = metadata(cut["text"], cut["lang"], cut["source"])
-                yield pa.RecordBatch.from_arrays([cut["doc_id"], cut["y"], pa.array([r.tobytes() for r in x.astype(np.float16)], pa.binary()), pa.array([r.tobytes() for r in meta], pa.binary())], ["doc_id", "y", "text", "meta"])
 
-    small = some.select("doc_id", "text", "lang", "source", "y").mapInArrow(run, "doc_id long, y int, text binary, meta binary").toArrow().sort_by("doc_id")
-    read = lambda c, kind, width: np.frombuffer(b"".join(small.column(c).to_pylist()), kind).reshape(-1, width).astype(np.float32)
-    return cotrain(read("text", np.float16, BUCKETS), read("meta", np.float32, META), small.column("y").to_numpy())
+def log_odds(models, doc, bucket, n, meta) -> tuple[np.ndarray, np.ndarray]:
+    (wt, bt), (wm, bm) = models
+    return text_score(wt, doc, bucket, n) + bt, wm[meta].sum(axis=1) + bm
+
+
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", max_labelled: int = MAX_LABELLED, rounds: int = ROUNDS):
+    spark = docs.sparkSession
+    ship(spark)
+    labels = labels.where(F.col("doc_id").isNotNull() & F.col(label_col).isNotNull()).groupBy("doc_id").agg(F.max(label_col).cast("int").alias("y"))
+    share = min(1.0, max_labelled / max(labels.count(), 1))
+    chosen = labels.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * share))  # max_labelled rows, in expectation
+    rows = _columns(docs)
+
+    def features(batches):
+        for cut, doc, bucket, n, meta in _pieces(batches):
+            cell, times = np.unique(doc * BUCKETS + bucket, return_counts=True)
+            ends = np.searchsorted(cell, np.arange(len(n) + 1) * BUCKETS)
+            parts = [[x[i:j].tobytes() for i, j in zip(ends[:-1], ends[1:], strict=True)] for x in ((cell % BUCKETS).astype(np.uint16), times.astype(np.uint32))]
+            yield pa.RecordBatch.from_arrays([cut["doc_id"], cut["y"], *(pa.array(x, pa.binary()) for x in parts), pa.array(n), pa.array(list(meta), pa.list_(pa.int64()))], ["doc_id", "y", "buckets", "times", "n", "meta"])
+
+    known = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "source", "y").mapInArrow(features, "doc_id long, y int, buckets binary, times binary, n long, meta array<long>").toArrow()
+    known = known.sort_by([(c, "ascending") for c in ("doc_id", "buckets", "times")])
+    read = lambda c, kind: np.frombuffer(b"".join(known.column(c).to_pylist()), kind)
+    y, n = known.column("y").to_numpy(), known.column("n").to_numpy()
+    doc = np.repeat(np.arange(len(n)), [len(x) // 2 for x in known.column("buckets").to_pylist()]) if len(n) else np.zeros(0, np.int64)
+    meta = np.array(known.column("meta").to_pylist(), np.int64).reshape(len(n), len(LAYOUT) + 2)
+    ids = spark.sparkContext.broadcast(np.unique(known.column("doc_id").to_numpy()))
+
+    def unlabelled(models):
+        sent = spark.sparkContext.broadcast(models)
+
+        def sums(batches):
+            text, tags = Sums(BUCKETS), Sums(META)
+            for cut, doc, bucket, n, meta in _pieces(batches):
+                t, m = log_odds(sent.value, doc, bucket, n, meta)
+                free = ~np.isin(cut["doc_id"].fill_null(-1).to_numpy(), ids.value) | cut["doc_id"].is_null().to_numpy(zero_copy_only=False)
+                limit = np.log(SURE / (1 - SURE))
+                for c, sign in ((0, -1), (1, 1)):
+                    own = free & (sign * m > limit)
+                    k = np.flatnonzero(own[doc])
+                    text.add(c, own.sum(), bucket[k], np.rint(UNIT / n[doc[k]]))
+                    own = free & (sign * t > limit)
+                    tags.add(c, own.sum(), meta[own].ravel())
+            flat_ = np.concatenate([text.values.ravel(), tags.values.ravel()])
+            some = np.flatnonzero(flat_)
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat_[some])], ["slot", "n"])
+
+        out = np.zeros(2 * (BUCKETS + 1) + 2 * (META + 1), np.int64)
+        got = rows.mapInArrow(sums, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()  # a row for each value of a view and class
+        out[got.column("slot").to_numpy()] = got.column("n").to_numpy()
+        sent.destroy()
+        return out[: 2 * (BUCKETS + 1)].reshape(2, -1), out[2 * (BUCKETS + 1) :].reshape(2, -1)
+
+    return cotrain(y, doc, read("buckets", np.uint16), read("times", np.uint32), n, meta, unlabelled, rounds)
 
 
 def score(docs: DataFrame, views) -> DataFrame:
     """doc_id, p_text, p_meta, p_quality, keep of each row of docs."""
     ship(docs.sparkSession)
-    (wt, bt), (wm, bm) = views
 
     def run(batches):
         p = lambda x: 1 / (1 + np.exp(-np.clip(x, -30, 30)))
-        for b in batches:
-            for lo, hi in chunks(b.column(1)):
-                part = b.slice(lo, hi - lo)
-                doc, bucket, n = trigrams(part.column(1))
-                t = np.bincount(doc, wt[bucket], minlength=hi - lo) / np.maximum(n, 1) + bt
-                m = metadata(part.column(1), part.column(2), part.column(3)) @ wm + bm
-                both = p((t + m) / 2)
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x.astype(np.float64)) for x in (p(t), p(m), both)), pa.array(both >= KEEP_AT)], ["doc_id", "p_text", "p_meta", "p_quality", "keep"])
+        for cut, *values in _pieces(batches):
+            t, m = log_odds(views, *values)
+            both = p((t + m) / 2)
+            yield pa.RecordBatch.from_arrays([cut["doc_id"], *(pa.array(x.astype(np.float64)) for x in (p(t), p(m), both)), pa.array(both >= KEEP_AT)], ["doc_id", "p_text", "p_meta", "p_quality", "keep"])
 
     return _columns(docs).mapInArrow(run, "doc_id long, p_text double, p_meta double, p_quality double, keep boolean")
 
