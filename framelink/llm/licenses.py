@@ -1,23 +1,20 @@
-"""License scans: lines and whole texts compared to licence templates by Dice over word bigrams.
-
-A unit (a line, or the whole text as line -1) is lower-cased, cut to runs of letters and digits and
-turned into its set of word bigrams. Dice >= t needs |A| between |B| * t / (2 - t) and its inverse,
-so units that no template's bounds admit are dropped before anything is joined, and the rest join
-template bigrams by equality under the bounds of that template.
-
-scan_notices finds what units miss: notices wrapped over lines or inside a longer paragraph. It looks
-at runs of words over the whole text, whatever its lines. Of all runs whose number of bigrams is
-within the template's bounds, only those that begin and end with a bigram of the template can be
-best, so runs are made from those places alone, and a place needs |B| * t / (2 - t) of them within
-the longest run. Texts without any of a few words and bigrams, which no run at dice can lack
-altogether, are dropped first. The best runs that don't overlap are kept, greatest Dice first, then the earliest
-and the shortest. op5_license_scan keeps to the units that its SQL defines; op5_license_notices
-gives both.
+"""License scans: runs of a text's words compared to licence templates by Dice over word bigrams.
+
+Words are runs of ASCII letters and digits, lower-cased, whatever the lines, so a notice is found alone
+in a line, wrapped over several, behind comment marks, or inside a longer paragraph. Dice >= t needs
+|A| between |B| * t / (2 - t) and its inverse. These size bounds prune: of all runs of words within a
+template's bounds only those that begin and end with one of its bigrams can be best, so runs are made
+from these places alone; a place needs |B| * t / (2 - t) of them within the longest run; and texts
+without any of a few word beginnings and bigrams, all of which no run at t can lack, are dropped
+before they are cut to words. The best runs that don't overlap are kept, greatest Dice first, then the
+earliest and the shortest.
 
 The templates are a parameter and a fixed small table; it is broadcast because its size is the
-table below, not the data's. Defined results: null and empty texts have no match; a row without
-doc_id has no result; ties go to the longer template and then to the first name; repeated rows
-give one result for each doc_id.
+table's below, not the data's. Defined results: null and empty texts have no match; a text of any
+length is scanned whole; a row without doc_id has no result; ties go to the longer template and then
+to the first name; rows that repeat doc_id and text give one result, and rows that share a doc_id but
+not the text are scanned each; an empty table gives an empty result; other columns are ignored,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, lower_ascii, table
+from .common import let, table
 
 DICE = 0.8
 
@@ -45,61 +42,46 @@ TEMPLATES = (
     ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
     ("GPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
     ("LGPL-2.1", "This library is licensed under the GNU Lesser General Public License, version 2.1."),
+    ("AGPL-3.0-or-later", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("GPL-2.0-or-later", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1-or-later", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
     ("MIT", "Released under the MIT License."),
     ("MIT-grant", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction'),
     ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
 
-# Whole texts of licences short enough to stand inside a document.
+# Licences and headers that stand whole inside documents.
 FULL_TEXTS = (
     ("MIT", 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("Zlib", "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
     ("ISC", 'Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE.'),
     ("BSD-3-Clause", 'Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.'),
 )
 
 
-def template_bigrams(templates=TEMPLATES) -> list[tuple[str, int, str]]:
-    """(name, number of distinct bigrams, bigram)."""
-    out = []
+def bounds(templates, dice: float) -> list[tuple[str, int, int, int, set[str]]]:
+    """Name, distinct bigrams, fewest of them that a run needs, most bigrams that a run may have, and the bigrams."""
+    low, high, out = dice / (2 - dice), (2 - dice) / dice, []
     for name, text in templates:
         w = re.findall("[a-z0-9]+", text.lower())
-        grams = sorted({f"{a} {b}" for a, b in zip(w, w[1:], strict=False)})
-        out += [(name, len(grams), g) for g in grams]
+        grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+        n = len(set(grams))
+        out.append((name, n, math.ceil(n * low - 1e-9), math.floor(len(grams) * high + 1e-9), set(grams)))
     return out
 
 
-def bigrams(text: Column) -> Column:
-    def of(w: Column) -> Column:
-        return F.when(F.size(w) >= 2, F.array_distinct(F.transform(F.sequence(F.lit(0), F.size(w) - 2), lambda i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))))).otherwise(F.array().cast("array<string>"))
-
-    return let(F.filter(F.split(lower_ascii(F.coalesce(text, F.lit(""))), "[^a-z0-9]+"), lambda w: w != ""), of)
-
-
-def scan_licenses(docs: DataFrame, templates=TEMPLATES, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, line_no, license, shared, n_unit, n_template for each unit and template at dice or more."""
-    grams = template_bigrams(templates)
-    low, high = dice / (2 - dice), (2 - dice) / dice
-    least, most = min(g[1] for g in grams) * low, max(g[1] for g in grams) * high
-    known = docs.sparkSession.createDataFrame(grams, "license string, n_template int, gram string")
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    # The whole text is a unit of its own only where it has more lines than one.
-    lines = F.split(text, "\n", -1)
-    units = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("doc_id"), F.explode(let(lines, lambda x: F.concat(F.transform(x, lambda line, i: F.struct(i.alias("line_no"), line.alias("unit"))), F.when(F.size(x) > 1, F.array(F.struct(F.lit(-1).alias("line_no"), text.alias("unit")))).otherwise(F.array().cast("array<struct<line_no:int,unit:string>>"))))).alias("u"))
-    units = units.select("doc_id", "u.line_no", bigrams(F.col("u.unit")).alias("grams")).where(F.size("grams").between(least, most))
-    hits = units.select("doc_id", "line_no", F.size("grams").alias("n_unit"), F.explode("grams").alias("gram")).join(F.broadcast(known), "gram").where((F.col("n_unit") >= F.col("n_template") * low) & (F.col("n_unit") <= F.col("n_template") * high))
-    counted = hits.groupBy("doc_id", "line_no", "license", "n_unit", "n_template").agg(F.countDistinct("gram").alias("shared"))
-    return counted.where(F.col("shared") * 2 >= dice * (F.col("n_unit") + F.col("n_template")))
-
-
 def anchors(known) -> tuple[list[str], str]:
-    """Words of six letters or more, and a pattern of bigrams: a text with |B| * t / (2 - t) bigrams of a template has one of them, as those without are too few."""
+    """Beginnings of words, and a pattern of bigrams: a text with |B| * t / (2 - t) bigrams of a template has one of them, as those without are too few."""
     left = {k: (t[1] - t[2] + 1, set(t[4])) for k, t in enumerate(known)}
+    begins = lambda g: {w[:n] for w in g.split() for n in range(5, len(w) + 1)}
     words, pairs = [], set()
     while left:
-        gain = Counter(w for n, grams in left.values() for g in grams for w in set(g.split()) if len(w) >= 6)
+        gain = Counter(x for n, grams in left.values() for g in grams for x in begins(g))
         if gain:
-            words.append(w := max(gain, key=lambda w: (gain[w], w)))
-            left = {k: (n - sum(w in g.split() for g in grams), {g for g in grams if w not in g.split()}) for k, (n, grams) in left.items()}
+            words.append(x := max(gain, key=lambda x: (gain[x], len(x), x)))
+            left = {k: (n - sum(x in begins(g) for g in grams), {g for g in grams if x not in begins(g)}) for k, (n, grams) in left.items()}
         else:
             for n, grams in left.values():
                 pairs |= set(sorted(grams, key=lambda g: (-len(g), g))[:n])
@@ -108,15 +90,9 @@ def anchors(known) -> tuple[list[str], str]:
     return words, "|".join(g.replace(" ", "[^a-z0-9]+") for g in sorted(pairs))
 
 
-def scan_notices(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def scan_licenses(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float = DICE, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, license, first_word, last_word, shared, n_unit, n_template of the best runs of words, anywhere in the text, at dice or more. Two templates of one licence count apart."""
-    low, high = dice / (2 - dice), (2 - dice) / dice
-    known = []
-    for name, text in templates:
-        w = re.findall("[a-z0-9]+", text.lower())
-        grams = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
-        n = len(set(grams))
-        known.append((name, n, math.ceil(n * low - 1e-9), math.floor(len(grams) * high + 1e-9), set(grams)))
+    known = bounds(templates, dice)
     starts = sorted({g.split()[0] for t in known for g in t[4]})
     gram = lambda w, i: F.concat(F.get(w, i), F.lit(" "), F.get(w, i + 1))
     word = F.filter(F.transform(F.split(F.coalesce(F.col(text_col), F.lit("")), "[^A-Za-z0-9]+"), F.lower), lambda w: w != "")
@@ -149,56 +125,46 @@ def scan_notices(docs: DataFrame, templates=TEMPLATES + FULL_TEXTS, dice: float
     return best.select("doc_id", "license", "n_template", F.explode(apart).alias("r")).select("doc_id", "license", "r.first_word", "r.last_word", "r.shared", "r.n_unit", "n_template")
 
 
-def op5_license_notices(spark, sf_dir) -> DataFrame:
-    """doc_id, n_units, n_notices, license, dice_ppm of each document: the best of its lines, whole text and runs of words."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    score = F.expr("2000000 * shared div (n_unit + n_template)").alias("s")
-    units = scan_licenses(docs).select("doc_id", "line_no", F.lit(None).cast("int").alias("first_word"), "license", "n_template", score)
-    runs = scan_notices(docs).select("doc_id", F.lit(None).cast("int").alias("line_no"), "first_word", "license", "n_template", score)
-    # The least of the negated numbers: greatest score, longer template, first name.
-    best = units.unionByName(runs).groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_units"), F.countDistinct(F.when(F.col("first_word").isNotNull(), F.struct("first_word", "license"))).alias("n_notices"), F.min(F.struct(-F.col("s"), -F.col("n_template"), F.col("license").alias("license"), F.col("s").alias("s"))).alias("top"))
-    ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), F.coalesce("n_notices", F.lit(0)).cast("long").alias("n_notices"), F.col("top.license").alias("license"), F.coalesce("top.s", F.lit(0)).cast("long").alias("dice_ppm"))
-
-
 def op5_license_scan(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = scan_licenses(docs)
-    score = F.expr("2000000 * shared div (n_unit + n_template)")
-    best = found.groupBy("doc_id").agg(F.countDistinct("line_no").alias("n_units"), F.max(F.struct(score.alias("s"), "n_template")).alias("top"), F.collect_set(F.struct(score.alias("s"), "n_template", "license")).alias("all"))
-    best = best.select("doc_id", "n_units", F.col("top.s").alias("dice_ppm"), F.array_min(F.transform(F.filter("all", lambda x: (x["s"] == F.col("top.s")) & (x["n_template"] == F.col("top.n_template"))), lambda x: x["license"])).alias("license"))
+    """doc_id, n_licenses (templates found), license, first_word, last_word, dice_ppm: of each document its best run."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ppm = F.expr("2000000 * shared div (n_unit + n_template)")
+    runs = scan_licenses(docs)
+    # The least of the negated numbers: greatest score, longer template, first name, then the run's own order.
+    best = runs.groupBy("doc_id").agg(F.countDistinct("license", "n_template").alias("n"), F.min(F.struct((-ppm).alias("s"), -F.col("n_template"), "license", (-F.col("shared") / (F.col("n_unit") + F.col("n_template"))).alias("d"), "first_word", "last_word")).alias("top"))
     ids = docs.where("doc_id IS NOT NULL").select("doc_id").distinct()
-    return ids.join(best, "doc_id", "left").select("doc_id", F.coalesce("n_units", F.lit(0)).cast("long").alias("n_units"), "license", F.coalesce("dice_ppm", F.lit(0)).cast("long").alias("dice_ppm"))
+    count = lambda c: F.coalesce(c, F.lit(0)).cast("long")
+    return ids.join(best, "doc_id", "left").select("doc_id", count(F.col("n")).alias("n_licenses"), F.col("top.license").alias("license"), F.col("top.first_word").cast("long").alias("first_word"), F.col("top.last_word").cast("long").alias("last_word"), count(-F.col("top.s")).alias("dice_ppm"))
 
 
-def op5_sql(templates=TEMPLATES, dice: float = DICE) -> str:
-    rows = ", ".join("('{}', {}, '{}')".format(*g) for g in template_bigrams(templates))
-    low, high = dice / (2 - dice), (2 - dice) / dice
+def op5_sql(templates=TEMPLATES + FULL_TEXTS, dice: float = DICE) -> str:
+    known = bounds(templates, dice)
+    spec = ", ".join(f"({k}, '{name}', {n}, {need}, {longest}, [{', '.join(repr(g) for g in sorted(grams))}])" for k, (name, n, need, longest, grams) in enumerate(known))
     return f"""
-WITH t(license, n_template, gram) AS (VALUES {rows}),
-l AS (
-  SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS unit,
-         generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS line_no FROM documents
-  UNION ALL SELECT doc_id, coalesce(text, ''), 0 FROM documents WHERE contains(text, chr(10))),
+WITH t(t, license, n_template, need, longest, grams) AS (VALUES {spec}),
+g AS (SELECT t, need, longest, unnest(grams) AS gram FROM t),
 w AS (
-  SELECT doc_id, line_no, list_filter(regexp_split_to_array(translate(unit,
-    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM l),
-g AS (
-  SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) AS grams
-  FROM w WHERE len(w) >= 2),
-h AS (
-  SELECT doc_id, line_no, len(grams) AS n_unit, unnest(grams) AS gram FROM g
-  WHERE len(grams) BETWEEN {min(g[1] for g in template_bigrams(templates)) * low}::double
-    AND {max(g[1] for g in template_bigrams(templates)) * high}::double),
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^a-z0-9]+'), lambda x: x <> '') AS w FROM documents),
+b AS (SELECT doc_id, list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1]) AS b FROM w WHERE len(w) >= 2),
+p AS (SELECT doc_id, unnest(b) AS gram, generate_subscripts(b, 1) AS i FROM b),
+a AS (
+  SELECT doc_id, t, need, longest, i, row_number() OVER (PARTITION BY doc_id, t ORDER BY i) AS k, count(*) OVER (PARTITION BY doc_id, t) AS n
+  FROM p JOIN g ON p.gram = g.gram QUALIFY n >= need),
+r AS (
+  SELECT x.doc_id, x.t, x.i AS first, y.i AS last FROM a x JOIN a y
+    ON x.doc_id = y.doc_id AND x.t = y.t AND y.i - x.i < x.longest AND y.k >= x.k + x.need - 1),
 c AS (
-  SELECT doc_id, line_no, license, n_unit, n_template, count(DISTINCT h.gram) AS shared
-  FROM h JOIN t ON h.gram = t.gram
-  WHERE n_unit >= n_template * {low}::double AND n_unit <= n_template * {high}::double
-  GROUP BY ALL HAVING count(DISTINCT h.gram) * 2 >= {dice}::double * (n_unit + n_template)),
+  SELECT r.doc_id, t.t, license, n_template, first, last, len(list_distinct(b[first:last])) AS n_unit,
+    len(list_intersect(list_distinct(b[first:last]), grams)) AS shared
+  FROM r JOIN t ON r.t = t.t JOIN b ON r.doc_id = b.doc_id),
 s AS (
-  SELECT *, 2000000 * shared // (n_unit + n_template) AS dice_ppm,
-    row_number() OVER (PARTITION BY doc_id ORDER BY 2000000 * shared // (n_unit + n_template) DESC, n_template DESC, license) AS rn,
-    count(DISTINCT line_no) OVER (PARTITION BY doc_id) AS n_units FROM c)
-SELECT d.doc_id, coalesce(s.n_units, 0)::BIGINT AS n_units, s.license, coalesce(s.dice_ppm, 0)::BIGINT AS dice_ppm
-FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN s ON d.doc_id = s.doc_id AND s.rn = 1
+  SELECT *, shared / (n_unit + n_template)::DOUBLE AS d FROM c WHERE shared * 2 >= {dice}::DOUBLE * (n_unit + n_template)),
+o AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY doc_id, t ORDER BY d DESC, first, last) = 1),
+f AS (
+  SELECT *, 2000000 * shared // (n_unit + n_template) AS ppm, count(*) OVER (PARTITION BY doc_id) AS n_licenses FROM o
+  QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY ppm DESC, n_template DESC, license, d DESC, first, last) = 1)
+SELECT d.doc_id, coalesce(f.n_licenses, 0)::BIGINT AS n_licenses, f.license, (first - 1)::BIGINT AS first_word,
+  last::BIGINT AS last_word, coalesce(ppm, 0)::BIGINT AS dice_ppm
+FROM (SELECT DISTINCT doc_id FROM documents) d LEFT JOIN f ON d.doc_id = f.doc_id
 """

@@ -15,7 +15,6 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_fingerprints": fingerprints.op4_fingerprints,
     "op5_license_scan": licenses.op5_license_scan,
-    "op5_license_notices": licenses.op5_license_notices,
 }
 ORACLE_SQL = {
     "op2_warc_revisits": warc.OP2_SQL,

@@ -154,33 +154,55 @@ def test_fingerprints(spark, docs, texts, none, monkeypatch):
     assert fingerprints.op4_fingerprints(spark, "").count() == 0
 
 
-def test_licenses(spark):
-    rows = [(1, "Released under the MIT License."), (2, "text\nreleased  UNDER the mit licence license!\nx"), (3, None), (4, ""), (5, "Licensed under the Apache License, Version 2.0."), (None, "Released under the MIT License."), (6, "nothing here")]
-    got = {(r.doc_id, r.line_no, r.license) for r in licenses.scan_licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
-    assert {(1, 0, "MIT"), (5, 0, "Apache-2.0")} <= got and {g[0] for g in got} == {1, 5}
+def slow_runs(text, templates=licenses.TEMPLATES + licenses.FULL_TEXTS):
+    """{template number: (dice, first word, last word) of the best run of words} by trying all runs."""
+    w = re.findall("[a-z0-9]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    grams, out = list(zip(w, w[1:], strict=False)), {}
+    for k, (_, t) in enumerate(templates):
+        v = re.findall("[a-z0-9]+", t.lower())
+        want = set(zip(v, v[1:], strict=False))
+        if len(want & set(grams)) * 3 < len(want) * 2 - 1e-9:
+            continue
+        best = []
+        for i in range(len(grams)):
+            own = set()
+            for j in range(i, min(len(grams), i + int(len(v) * 1.5) + 1)):
+                own.add(grams[j])
+                d = 2 * len(own & want) / (len(own) + len(want))
+                if d >= 0.8:
+                    best.append((-d, i, j + 1))
+        if best:
+            out[k] = min(best)
+    return out
 
 
-def test_license_notices(spark, monkeypatch):
-    """Notices wrapped over lines, inside a paragraph, twice in a text, and as a whole licence."""
+def test_licenses(spark, monkeypatch, none):
+    """Every best run of words against trying all runs: notices in a line, wrapped, inside a paragraph, edited, twice, whole licences."""
     rng = random.Random(4)
-    t, full = dict(licenses.TEMPLATES), dict(licenses.FULL_TEXTS)
+    every = licenses.TEMPLATES + licenses.FULL_TEXTS
     wrap = lambda x: "\n".join(" * " + " ".join(x.split()[k : k + 9]) for k in range(0, len(x.split()), 9))
-    inside = lambda x: f"{prose(rng, 90)} {x} {prose(rng, 70)}"
-    rows = {i: f"{prose(rng, 60)}\n{wrap(t[name])}\n{prose(rng, 60)}" for i, name in enumerate(("Apache-2.0-header", "MIT-grant", "GPL-3.0-or-later"))}
-    rows |= {10: inside(t["MIT"]), 11: inside(wrap(full["BSD-3-Clause"])), 12: inside(t["MIT"]) + inside(t["MIT"]), 13: inside(t["MPL-2.0"]).replace("Mozilla", "Public Mozilla"), 14: prose(rng, 300), 15: None, 16: "released", 17: t["MIT"]}
-    d = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    texts = [None, "", "released", prose(rng, 200), "nothing here", "Released under the MIT License.", "text\nreleased  UNDER the mit licence license!\nx"]
+    for name, t in every:
+        texts.append(f"{prose(rng, 30)}\n{wrap(t)}\n{prose(rng, 20)}")
+        w = t.split()
+        for j in rng.sample(range(len(w)), max(1, len(w) // 12)):
+            w[j] = "other"
+        texts.append(f"{prose(rng, 12)} {' '.join(w).upper()} {prose(rng, 9)}")
+    texts += [f"{every[3][1]} {prose(rng, 8)} {every[3][1]}", f"{every[0][1]} {every[10][1]}"]
+    rows = [(i, t, "x", 1) for i, t in enumerate(texts)] + [(5, texts[5], "x", 1), (None, texts[5], "x", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, license string, w int")
+    n = {(name, len({*zip(v, v[1:], strict=False)})): k for k, (name, t) in enumerate(every) for v in [re.findall("[a-z0-9]+", t.lower())]}
     got = defaultdict(list)
-    for r in licenses.scan_notices(d).collect():
-        got[r.doc_id, r.license, r.n_template].append((r.first_word, r.last_word, r.shared, r.n_unit))
-    n = {name: k for name, k, _ in licenses.template_bigrams()}["Apache-2.0-header"]
-    assert got[0, "Apache-2.0-header", n] == [(60, 60 + n, n, n)]
-    assert {(1, "MIT-grant"), (2, "GPL-3.0-or-later"), (10, "MIT"), (11, "BSD-3-Clause"), (13, "MPL-2.0"), (17, "MIT")} <= {k[:2] for k in got}
-    assert sorted(got[12, "MIT", 4]) == [(90, 94, 4, 4), (254, 258, 4, 4)] and not {14, 15, 16} & {k[0] for k in got}
-    assert any(n > 150 for i, _, n in got if i == 11)
-    assert {r.doc_id for r in licenses.scan_licenses(d).collect()} == {0, 17}  # 0: one of its lines is a short notice
+    for r in licenses.scan_licenses(d).collect():
+        got[r.doc_id, n[r.license, r.n_template]].append((-2 * r.shared / (r.n_unit + r.n_template), r.first_word, r.last_word))
+    want = {(i, k): x for i, t in enumerate(texts) for k, x in slow_runs(t).items()}
+    assert {k: min(x) for k, x in got.items()} == want
+    assert len({k for i, k in want}) == len(every) and len(got[len(texts) - 2, 3]) == 2
     monkeypatch.setattr(licenses, "table", lambda *a: d)
-    out = {r.doc_id: r for r in licenses.op5_license_notices(spark, "").collect()}
-    assert len(out) == len(rows) and (out[12].n_notices, out[12].license, out[12].dice_ppm) == (2, "MIT", 1000000) and (out[14].n_notices, out[14].license) == (0, None)
+    out = {r.doc_id: r for r in licenses.op5_license_scan(spark, "").collect()}
+    assert len(out) == len(texts) and (out[5].license, out[5].dice_ppm, out[5].n_licenses) == ("MIT", 1000000, 1) and (out[3].license, out[3].dice_ppm) == (None, 0)
+    monkeypatch.setattr(licenses, "table", lambda *a: none)
+    assert licenses.op5_license_scan(spark, "").count() == 0
 
 
 def test_bpe(spark, docs, texts, none):
