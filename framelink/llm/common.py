@@ -60,6 +60,10 @@ class Scratch:
         df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def free(self) -> None:
+        """Let Spark delete the shuffle files of finished steps, which else stay until the driver happens to collect its garbage."""
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *names: str) -> None:
         """Delete tables that no later plan reads."""
         for name in names:

@@ -220,6 +220,7 @@ class Sets:
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int, size: int):
         ship(docs.sparkSession)
         texts = scratch.save(shared_shingles(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), percent, size), "texts")
+        scratch.free()
         self.members = texts.select("doc_id", "n", "key")
         self.reps = self.members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("sid"))
         need = F.expr(f"cast((n * {percent}L + 99) div 100 AS int)")
@@ -238,6 +239,7 @@ class Sets:
         leads = scratch.save(posted.groupBy(*ON).agg(F.count("*").alias("members"), central.alias("lead")).where("members > 1").drop("members"), "leads")
         self.lists = scratch.save(posted.join(leads, ON), "lists")
         scratch.drop("posted", "leads")
+        scratch.free()
         every = sets.where(F.col("n") <= most).select("sid", F.lit(0).alias("kind"), subsets.alias("every"))
         self.every = every.unionByName(sets.select("sid", F.lit(1).alias("kind"), F.slice("pre", F.lit(1), F.col("p")).alias("every")))
 
@@ -283,6 +285,7 @@ def similar_sets(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size
     rest = scratch.save(rest.withColumn("i", F.when(F.col("sid") == F.col("lead"), F.col("t")).otherwise(F.col("shared"))).drop("u", "v", "shared", "lead"), "rest")
     per = scratch.save(rest.groupBy(*ON).agg(F.max(F.col("t") - F.coalesce("i", F.lit(0))).alias("most_else"), F.ceil(F.count("*") / BLOCK).alias("blocks")), "per")
     scratch.drop("placed", "apart")
+    scratch.free()
     reach = F.coalesce(F.col("i") + F.least(F.col("t") - F.col("i"), F.col("most_else")), F.col("t"))
     rest = scratch.save(rest.join(per, ON).join(all_.every, ["sid", "kind"]), "ready")
     a, b = _blocks(rest.where("comp <> main").where(enough(reach, partner(F.col("least_n")))), "x", "y").alias("a"), _blocks(rest, "y", "x").alias("b")
@@ -296,6 +299,7 @@ def similar_sets(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size
     scratch.drop("rest", "per", "ready", "lists")
     final = components(first.unionByName(second), scratch, "all")
     scratch.drop("known", "merged", "second", "sets")
+    scratch.free()
 
     named = reps.join(final.withColumnRenamed("id", "sid"), "sid", "left").select("key", F.coalesce("comp", "sid").alias("component"))
     out = members.join(named, "key", "left")
