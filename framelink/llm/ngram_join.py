@@ -76,7 +76,7 @@ def _eight(parts: list[bytes], top: np.ndarray) -> np.ndarray:
     return out.view("<u8").ravel()
 
 
-def shared_shingles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
+def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, size: int = SHINGLE) -> DataFrame:
     """doc_id, n (set size), key (16 bytes, equal for equal sets), tok, df of each row of docs (doc_id, text).
 
     tok, df: the shingles that other texts have too; null if they are too few for a partner, and for
@@ -176,7 +176,8 @@ def shared_shingles(docs: DataFrame, percent: int = PERCENT, size: int = SHINGLE
         lists = [pa.ListArray.from_arrays(at, pa.array(x[order]), mask=pa.array(~enough)) for x in (tok, df)]
         return pa.Table.from_arrays([pa.array(ids), pa.array(n), cells(key), *lists], ["doc_id", "n", "key", "tok", "df"])
 
-    answered = docs.mapInArrow(deal, PARTS).groupBy("bucket").applyInArrow(count, PARTS)
+    answered = scratch.save(docs.mapInArrow(deal, PARTS).groupBy("bucket").applyInArrow(count, PARTS), "answers")
+    scratch.free()  # the dealt shingles, the largest of all shuffles
     return answered.groupBy("uid").applyInArrow(whole, "doc_id long, n int, key binary, tok array<long>, df array<int>")
 
 
@@ -219,7 +220,8 @@ class Sets:
 
     def __init__(self, docs: DataFrame, scratch: Scratch, percent: int, size: int):
         ship(docs.sparkSession)
-        texts = scratch.save(shared_shingles(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), percent, size), "texts")
+        texts = scratch.save(shared_shingles(docs.where("doc_id IS NOT NULL").select("doc_id", "text"), scratch, percent, size), "texts")
+        scratch.drop("answers")
         scratch.free()
         self.members = texts.select("doc_id", "n", "key")
         self.reps = self.members.where("n > 0").groupBy("key").agg(F.min("doc_id").alias("sid"))
