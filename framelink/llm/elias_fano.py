@@ -13,6 +13,7 @@ import tempfile
 import numpy as np
 
 U = np.uint64
+QUERIES = 1 << 18
 _BYTE_ONES = np.array([bin(i).count("1") for i in range(256)], np.int64)
 _SELECT = np.full((256, 8), 8, np.int64)
 for _i in range(256):
@@ -82,23 +83,32 @@ class EliasFano:
             out |= (x & U((1 << self.low) - 1)).astype(np.int64)
         return out
 
-    def successor(self, lo: np.ndarray, hi: np.ndarray, value: np.ndarray) -> np.ndarray:
-        """The first place in lo..hi - 1 whose value isn't less, else hi."""
-        lo, hi = lo.copy(), hi.copy()
-        while len(open_ := np.flatnonzero(lo < hi)):
-            mid = (lo[open_] + hi[open_]) >> 1
-            less = self[mid] < value[open_]
-            lo[open_] = np.where(less, mid + 1, lo[open_])
-            hi[open_] = np.where(less, hi[open_], mid)
-        return lo
+    def part(self, lo: int, hi: int) -> np.ndarray:
+        """Values lo .. hi - 1, whose high bits are read in one go."""
+        if hi <= lo:
+            return np.zeros(0, np.int64)
+        first, last = (int(np.searchsorted(self.before, i, side="right")) - 1 for i in (lo, hi - 1))
+        ones = np.flatnonzero(np.unpackbits(self.high[first : last + 1].view(np.uint8), bitorder="little"))
+        skip = lo - int(self.before[first])
+        i = np.arange(lo, hi)
+        out = (ones[skip : skip + hi - lo] + 64 * first - i) << self.low
+        if self.low:
+            pos = i.astype(np.uint64) * U(self.low)
+            at, shift = (pos >> U(6)).astype(np.int64), pos & U(63)
+            x = self.lows[at] >> shift
+            x |= np.where(shift > 0, self.lows[at + 1] << ((U(64) - shift) & U(63)), U(0))
+            out |= (x & U((1 << self.low) - 1)).astype(np.int64)
+        return out
+
+CODES, NONE = 255, 255
 
 
 def quantised(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Codebook of at most 256 values, and one code each: the mean of each of 256 equal parts."""
+    """Codebook of at most CODES values, and one code each: the mean of each of CODES equal parts."""
     known, inverse, count = np.unique(x, return_inverse=True, return_counts=True)
-    if len(known) <= 256:
+    if len(known) <= CODES:
         return known.astype(np.float64), inverse.astype(np.uint8)
-    part = np.minimum((np.cumsum(count) - count) * 256 // len(x), 255)
+    part = np.minimum((np.cumsum(count) - count) * CODES // len(x), CODES - 1)
     used, part = np.unique(part, return_inverse=True)
     book = np.bincount(part, known * count) / np.bincount(part, count)
     return book, part[inverse].astype(np.uint8)
@@ -126,16 +136,28 @@ class TrieLevel:
         self.start, self.symbol = EliasFano(spec["start"], block), EliasFano(spec["symbol"], block)
         self.book, self.code = block.get(spec["book"]), block.get(spec["code"])
 
-    def find(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """log10 probability of each symbol after its context; NaN where training didn't see the pair."""
-        lo, hi = self.start[context], self.start[context + 1]
-        base = np.zeros(len(lo), np.int64)
-        some = np.flatnonzero((lo > 0) & (lo < hi))
-        base[some] = self.symbol[lo[some] - 1] + 1  # the last value before the range, which its own values follow
-        want = base + symbol
-        at = self.symbol.successor(lo, hi, want)
-        good = np.flatnonzero(at < hi)
-        good = good[self.symbol[at[good]] == want[good]]
-        out = np.full(len(lo), np.nan)
-        out[good] = self.book[self.code[at[good]]]
+    def codes(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """The code of each symbol after its context, NONE where it has no such child. Contexts must ascend.
+
+        The ranges of ascending contexts lie one after the other, so the successor search of many
+        queries runs over one stretch of the sequence.
+        """
+        out = np.full(len(context), NONE, np.uint8)
+        for a in range(0, len(context), QUERIES):
+            c, x = context[a : a + QUERIES], symbol[a : a + QUERIES]
+            start = self.start.part(int(c[0]), int(c[-1]) + 2)
+            lo, hi = start[c - c[0]], start[c - c[0] + 1]
+            first = max(0, int(lo[0]) - 1)
+            values = self.symbol.part(first, int(hi[-1]))
+            base = np.zeros(len(c), np.int64)
+            some = np.flatnonzero((lo > 0) & (lo < hi))
+            base[some] = values[lo[some] - 1 - first] + 1  # the last value before the range, which its own values follow
+            at = np.searchsorted(values, base + x)
+            good = np.flatnonzero((lo < hi) & (at + first < hi))
+            good = good[values[at[good]] == (base + x)[good]]
+            out[a + good] = self.code[at[good] + first]
         return out
+
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> np.ndarray:
+        """log10 probability of each symbol after its context; NaN where training didn't see it."""
+        return np.append(self.book, [np.nan] * (NONE + 1 - len(self.book)))[self.codes(context, symbol)]

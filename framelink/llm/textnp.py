@@ -141,6 +141,16 @@ def set_keys(doc: np.ndarray, h: np.ndarray, n_docs: int) -> tuple[np.ndarray, n
     return n, key
 
 
+def ranked(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct values, ascending, and the place of each element's among them."""
+    order = np.argsort(x)
+    new = np.ones(len(x), bool)
+    np.not_equal(x[order[1:]], x[order[:-1]], out=new[1:])
+    inverse = np.empty(len(x), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return x[order[new]], inverse
+
+
 def cells(rows: np.ndarray) -> pa.Array:
     """Each row of a two-dimensional array as one binary value."""
     return pa.Array.from_buffers(pa.binary(), len(rows), [None, pa.py_buffer(np.arange(len(rows) + 1, dtype=np.int32) * rows.dtype.itemsize * rows.shape[1]), pa.py_buffer(np.ascontiguousarray(rows))])
