@@ -7,7 +7,7 @@ squeezed out, and only the ranks beside it are looked up again, in an open-addre
 numpy. Rows without a pair to merge leave the matrix.
 
 The further places of a row's least pair would be merged in its next rounds, from the left, unless a
-merge makes a pair of lesser rank. So a row takes them all in one round if none of its merges does,
+merge makes a pair of lesser rank. So a long row takes them all in one round if none of its merges does,
 and its leftmost place alone if one does. Rounds of a piece are then about as many as its different
 merges, not its letters, and a run of 100,000 letters takes few.
 
@@ -32,6 +32,7 @@ from .common import ship, table
 from .textnp import chunks
 
 CHUNK_BYTES = 1 << 20
+WIDE = 48  # pairs in a row; narrower rows have few rounds whichever way
 KEEP_BYTES = 16 << 20  # of pieces that a worker remembers; a cache only
 CELLS = 1 << 21  # of a matrix, or one row
 NONE = np.int32(2**31 - 1)
@@ -93,12 +94,16 @@ class ByteBPE:
         self.known: dict[str, tuple[int, ...]] = {}
         self.held = 0
 
-    def _places(self, rank: np.ndarray, ids: np.ndarray, at: np.ndarray, best: np.ndarray) -> np.ndarray:
-        """Where each row merges in this round: all places of its least pair, or the leftmost if a merge makes a lesser pair."""
-        n, hit = len(rank), rank == best[:, None]
-        many = np.flatnonzero(np.count_nonzero(hit, axis=1) > 1)
+    def _places(self, rank: np.ndarray, ids: np.ndarray, at: np.ndarray, best: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(row, place) where each row merges in this round: all places of its least pair, or the leftmost if a merge makes a lesser pair."""
+        n = len(rank)
+        if rank.shape[1] < WIDE:
+            return np.arange(n), at
+        last = rank.shape[1] - 1 - rank[:, ::-1].argmin(axis=1)
+        many = np.flatnonzero(last > at)
         if not len(many):
-            return hit
+            return np.arange(n), at
+        hit = rank == best[:, None]
         # Places side by side overlap; of a run of them every other merges, from the left.
         for r in many[(hit[many, 1:] & hit[many, :-1]).any(axis=1)]:
             k = np.flatnonzero(hit[r])
@@ -115,7 +120,7 @@ class ByteBPE:
         one[many[r[lesser]]] = True
         hit[one] = False
         hit[one, at[one]] = True
-        return hit
+        return np.nonzero(hit)
 
     def _matrix(self, pieces: list[bytes]) -> list[tuple[int, ...]]:
         """Pieces of like length, each merged to its end."""
@@ -135,9 +140,8 @@ class ByteBPE:
                 if done.all():
                     return out
                 ids, rank, row, at, best = ids[~done], rank[~done], row[~done], at[~done], best[~done]
-            hit = self._places(rank, ids, at, best)
-            n, merges = len(row), hit.sum(axis=1)
-            r, c = np.nonzero(hit)
+            r, c = self._places(rank, ids, at, best)
+            n, merges = len(row), np.bincount(r, minlength=len(row))
             ids[r, c] = best[r]
             # Squeeze the right parts out; rows with fewer merges than others keep padding at their end.
             keep = np.ones(ids.shape, bool)

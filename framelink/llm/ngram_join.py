@@ -47,7 +47,7 @@ PERCENT = 80
 
 PARTS = "bucket int, uid long, texts binary, counts binary, toks binary, df binary, hot binary, hot_n binary, ids binary, sizes binary, keys binary"
 NAMES = [c.split()[0] for c in PARTS.split(", ")]
-BATCH = 3_000_000  # shingles that a task packs at once
+BATCH = 1_500_000  # shingles that a task packs at once
 OFTEN = 8  # texts of a batch from which a shingle travels once for all of them
 RANGE_BYTES = 16 << 20  # of text for each range, until cells of a batch and range would hold a few dozen shingles only
 FEWEST, MOST = 1 << 8, 1 << 17  # ranges; 2^8 leaves 7 bytes of a hash to be sent
@@ -87,14 +87,14 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
 
     def often(h: np.ndarray) -> np.ndarray:
         """Of the hashes of a batch, those that occur OFTEN times or more, ascending."""
-        slot = (h >> U(42)).astype(np.int64)
-        known, n = np.unique(h[(np.bincount(slot, minlength=1 << 22) >= OFTEN)[slot]], return_counts=True)
+        slot = (h >> U(43)).astype(np.int64)
+        known, n = np.unique(h[(np.bincount(slot, minlength=1 << 21) >= OFTEN)[slot]], return_counts=True)
         return known[n >= OFTEN]
 
     def packed(uid: int, parts: list[tuple]):
         ids, n, key = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
         before = np.cumsum([0, *(len(p[0]) for p in parts)])
-        text, h = np.concatenate([p[3] + b for p, b in zip(parts, before, strict=False)]), np.concatenate([p[4] for p in parts])
+        text, h = np.concatenate([p[3] + np.uint32(b) for p, b in zip(parts, before, strict=False)]), np.concatenate([p[4] for p in parts])
         once = np.zeros(len(ids), bool)
         once[np.unique(key.view("V16").ravel(), return_index=True)[1]] = True
         text, h = text[once[text]], h[once[text]]
@@ -121,7 +121,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
             for lo, hi in chunks(b.column(1)):
                 text, h = distinct_shingles(b.column(1).slice(lo, hi - lo), size)
                 n, key = set_keys(text, h, hi - lo)
-                parts.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64), n, key, text, h))
+                parts.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64), n, key, text.astype(np.uint32), h))
                 held += len(h)
                 if held >= BATCH:
                     yield packed(task << 32 | k, parts)

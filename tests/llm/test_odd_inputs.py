@@ -98,8 +98,10 @@ def test_bpe_repeated_rows_and_names(spark):
     assert len(got) == 4 and [] in [x for _, x in got]
 
 
-def test_bpe_vocabulary_whose_merges_make_lesser_pairs():
+@pytest.mark.parametrize("wide", [1, 48])
+def test_bpe_vocabulary_whose_merges_make_lesser_pairs(monkeypatch, wide):
     """A token may rank before its parts; then places of one pair can't all be merged at once."""
+    monkeypatch.setattr(bpe, "WIDE", wide)
     ranks = {bytes([i]): i for i in range(256)} | {b"bc": 300, b"abc": 256, b"ab": 301, b"cd": 299, b"abcbc": 257, b"bcb": 258}
     codec = bpe.ByteBPE(ranks, r"[a-z]+|[^a-z]+")
 
