@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .windows import WINDOW
 
 
@@ -42,14 +43,17 @@ def cg_closure(vertices: DataFrame, pairs: DataFrame, ancestors: DataFrame | Non
     return pairs.withColumnRenamed("v", "parent").join(up, [*WINDOW, "parent"]).withColumnRenamed("child", "v").drop("parent").distinct()
 
 
-def ancestors_of(edges: DataFrame, depth: int = 64) -> DataFrame:
-    """Transitive closure of given edges (video, window_id, parent, child) by doubling, up to paths of `depth` steps."""
-    out, reach = edges.select(*WINDOW, "parent", "child").distinct(), 1
-    while reach < depth:
-        first, then = out.withColumnRenamed("child", "mid"), out.withColumnRenamed("parent", "mid")
-        more = first.join(then, [*WINDOW, "mid"]).select(*WINDOW, "parent", "child")
-        grown = out.unionByName(more).distinct()
-        if grown.count() == out.count():
-            return out
-        out, reach = grown, reach * 2
+def flatten_pairs(pairs: DataFrame) -> DataFrame:
+    """The pairs of all vertices of a window, each once."""
+    return pairs.select(*WINDOW, "sid", "eid", "theta_bin", "dist_bin", "frame").distinct()
+
+
+def ancestors_of(edges: DataFrame) -> DataFrame:
+    """Transitive closure of given edges (video, window_id, parent, child). Each round doubles the steps and is written; it ends when one adds nothing."""
+    out = stored(edges.select(*WINDOW, "parent", "child").distinct())
+    size, before = out.count(), -1
+    while size > before:
+        two = out.withColumnRenamed("child", "mid").join(out.withColumnRenamed("parent", "mid"), [*WINDOW, "mid"]).select(*WINDOW, "parent", "child")
+        out = stored(out.unionByName(two).distinct())
+        size, before = out.count(), size
     return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
@@ -95,10 +96,51 @@ def strict_graph_match(types_of: DataFrame, vertices: DataFrame, closure: DataFr
     return _every_pair(first, closure, n, limits, extra=("v",)).drop("v")
 
 
+def _one_row(*parts: DataFrame) -> DataFrame:
+    """Tables of one row each, side by side."""
+    return reduce(DataFrame.crossJoin, parts)
+
+
+def _asked(bindings: DataFrame, index: DataFrame, n: int, limits, undirected: bool) -> DataFrame:
+    """Each binding and pair with `bins`, how many different bins are stored for it, and `ok`, whether one is under the limits."""
+    asked = bindings.withColumn("p", F.explode(_pairs(n, limits))).select(*bindings.columns, "p.*")
+    stored = index.select(*WINDOW, F.col("sid").alias("a"), F.col("eid").alias("b"), "theta_bin", "dist_bin")
+    if undirected:
+        stored = stored.unionByName(stored.select(*WINDOW, F.col("b").alias("a"), F.col("a").alias("b"), "theta_bin", "dist_bin"))
+    bins = stored.groupBy(*WINDOW, "a", "b").agg(F.collect_set(F.struct("theta_bin", "dist_bin")).alias("set"))
+    limit = lambda x, c, v: F.col(v).isNull() | (x[c] < F.col(v))
+    some = F.exists("set", lambda x: limit(x, "theta_bin", "theta_lt") & limit(x, "dist_bin", "d_lt"))
+    return asked.join(bins, [*WINDOW, "a", "b"], "left").select(*bindings.columns, "pair", F.when(F.col("set").isNull(), 0).otherwise(F.size("set")).alias("bins"), F.coalesce(some, F.lit(False)).alias("ok"))
+
+
+def _window_counts(types_of: DataFrame, kept: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return types_of.agg(F.countDistinct(*WINDOW).alias("windows_total")), kept.agg(F.countDistinct(*WINDOW).alias("windows_kept"))
+
+
+def lenient_stats(types_of: DataFrame, index: DataFrame, types, theta_lt=None, d_lt=None, cap: int | None = None) -> DataFrame:
+    """One row: windows_total, windows_kept, combinations_total, combinations_matched, pair_lookups, bins_scanned of a lenient query, which looks up every pair."""
+    n, kept = len(types), filter_set(types_of, types)
+    bindings = capped(product(kept, types, distinct_ids=False), cap)
+    matches = lenient_match(types_of, index, types, theta_lt, d_lt, cap)
+    asked = _asked(bindings, index, n, (theta_lt, d_lt), undirected=False)
+    counts = asked.agg(F.count("*").alias("pair_lookups"), F.coalesce(F.sum("bins"), F.lit(0)).alias("bins_scanned"))
+    return _one_row(*_window_counts(types_of, kept), bindings.agg(F.count("*").alias("combinations_total")), matches.select(*bindings.columns).distinct().agg(F.count("*").alias("combinations_matched")), counts)
+
+
+def strict_stats(types_of: DataFrame, index: DataFrame, types, limits=(None, None), cap: int | None = None) -> DataFrame:
+    """One row: windows_total, windows_kept, bindings_total, bindings_matched, pair_lookups, bins_scanned of a strict query, which leaves a binding at its first pair without a match."""
+    n, kept = len(types), filter_multiset(types_of, types)
+    bindings = capped(product(kept, types, distinct_ids=True), cap)
+    asked = _asked(bindings, index, n, limits, undirected=True)
+    by = Window.partitionBy(*bindings.columns).orderBy("pair").rowsBetween(Window.unboundedPreceding, -1)
+    reached = asked.withColumn("open", F.coalesce(F.min("ok").over(by), F.lit(True))).where("open")
+    counts = reached.agg(F.count("*").alias("pair_lookups"), F.coalesce(F.sum("bins"), F.lit(0)).alias("bins_scanned"))
+    matches = _every_pair(bindings, index, n, limits)
+    return _one_row(*_window_counts(types_of, kept), bindings.agg(F.count("*").alias("bindings_total")), matches.select(*bindings.columns).distinct().agg(F.count("*").alias("bindings_matched")), counts)
+
+
 def match_stats(types_of: DataFrame, kept: DataFrame, matches: DataFrame) -> DataFrame:
     """One row: windows, windows that the type filter keeps, bindings with a frame, binding frames."""
     roles = [c for c in matches.columns if c.startswith("role_")]
-    a = types_of.agg(F.countDistinct(*WINDOW).alias("windows_total"))
-    b = kept.agg(F.countDistinct(*WINDOW).alias("windows_kept"))
     c = matches.agg(F.countDistinct("video", *roles).alias("bindings"), F.countDistinct("video", *roles, "frame").alias("binding_frames"))
-    return a.join(b).join(c)
+    return _one_row(*_window_counts(types_of, kept), c)

@@ -6,6 +6,8 @@ track and the self-joins then need no further shuffle.
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -30,10 +32,6 @@ def positions(detections: DataFrame) -> DataFrame:
     return objects(detections).drop("classes")
 
 
-def observed_classes(detections: DataFrame) -> DataFrame:
-    return detections.select(*FRAME, "track_id", "class_id").distinct()
-
-
 def typed_objects(detections: DataFrame, types=None) -> DataFrame:
     """One row for each object, frame and observed class."""
     out = objects(detections).withColumn("class_id", F.explode("classes")).drop("classes", "slot")
@@ -101,7 +99,14 @@ def postings(rel: DataFrame) -> DataFrame:
     return to_runs(rel, ["video", "src_class", "dst_class", "theta_bin", "dist_bin", "src", "dst"])
 
 
-def pattern_extract(detections: DataFrame, ids, start: int, end: int, height: float, width: float) -> tuple[DataFrame, DataFrame, int]:
+@dataclass(frozen=True)
+class TemporalPattern:
+    nodes: DataFrame
+    edges: DataFrame
+    length: int
+
+
+def pattern_extract(detections: DataFrame, ids, start: int, end: int, height: float, width: float) -> TemporalPattern:
     """Chosen objects over an inclusive range of frames, with frames from 1, their edges from each frame's anchor, and the length."""
     nodes = detections.where(F.col("track_id").isin(*ids) & F.col("frame").between(start, end)).withColumn("frame", F.col("frame") - start + 1)
-    return nodes, edges(nodes, height, width, "pattern"), end - start + 1
+    return TemporalPattern(nodes, edges(nodes, height, width, "pattern"), end - start + 1)

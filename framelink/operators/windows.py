@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,31 +18,44 @@ def windows_from_key_frames(keys: DataFrame) -> DataFrame:
     return keys.select("video", "start_frame").distinct().select("video", F.row_number().over(by).alias("window_id"), checked.alias("start_frame"), (F.lead("start_frame").over(by) - 1).alias("end_frame"))
 
 
-def assign_windows(df: DataFrame, windows: DataFrame) -> DataFrame:
+def last_frames(df: DataFrame) -> DataFrame:
+    return df.groupBy("video").agg(F.max("frame").alias("last"))
+
+
+def assign_windows(df: DataFrame, windows: DataFrame, last: DataFrame | None = None) -> DataFrame:
     """df with window_id; frames before the first key frame drop out.
 
     Each window is spread over its frames and joined by equality, so neither a broadcast that grows
-    with the video nor a nested loop is needed.
+    with the video nor a nested loop is needed. last: last_frames of the detections, where df is a
+    self-join of them that isn't to be made twice.
     """
-    last = df.groupBy("video").agg(F.max("frame").alias("last"))
+    last = last_frames(df) if last is None else last
     spans = windows.join(last, "video").withColumn("end_frame", F.least(F.coalesce("end_frame", "last"), "last")).where("start_frame <= end_frame")
     spread = spans.select("video", "window_id", F.explode(F.sequence("start_frame", "end_frame")).alias("frame"))
     return df.join(spread, ["video", "frame"])
 
 
 def segment(frame_ids: DataFrame, s: float) -> DataFrame:
-    """Key frames: a frame whose set of ids has a Jaccard similarity below s to the last key frame's begins a window."""
-    rows = frame_ids.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("frame", "ids"))).alias("rows"))
-    start = F.struct(F.array().cast("array<long>").alias("keys"), F.lit(None).cast("array<long>").alias("last"))
-
-    def step(acc, x):
-        ids = F.array_distinct(x["ids"])
-        union = F.size(F.array_union(acc["last"], ids))
-        like = F.when(union == 0, 1.0).otherwise(F.size(F.array_intersect(acc["last"], ids)) / union)
-        new = acc["last"].isNull() | (like < s)
-        return F.struct(F.when(new, F.concat(acc["keys"], F.array(x["frame"]))).otherwise(acc["keys"]).alias("keys"), F.when(new, ids).otherwise(acc["last"]).alias("last"))
-
-    return rows.select("video", F.explode(F.aggregate("rows", start, step)["keys"]).alias("start_frame"))
+    """Key frames: a frame whose set of ids has a Jaccard similarity below s to the last key frame's begins a window.
+
+    Each key frame depends on the one before, so a video is read in order by one task; it carries
+    the last key frame's ids from row to row and never holds the video.
+    """
+
+    def run(batches):
+        video, last = None, None
+        for b in batches:
+            out = []
+            for v, frame, ids in zip(b["video"], b["frame"], b["ids"], strict=True):
+                ids = frozenset(ids)
+                union = len(ids | last) if last is not None else 0
+                if v != video or last is None or (union and len(ids & last) / union < s):
+                    out.append((v, frame))
+                    video, last = v, ids
+            if out:
+                yield pd.DataFrame(out, columns=["video", "start_frame"])
+
+    return frame_ids.select("video", "frame", "ids").repartition("video").sortWithinPartitions("video", "frame").mapInPandas(run, "video string, start_frame long")
 
 
 def type_index_last(detections: DataFrame) -> DataFrame:

@@ -60,10 +60,22 @@ def ranked_runs(bound: DataFrame, spec: QuerySpec, return_all: bool) -> DataFram
     return runs if return_all else runs.orderBy(*order).limit(spec.topk)
 
 
-def exact_query(detections: DataFrame, spec: QuerySpec, width: float, height: float, return_all: bool = False) -> DataFrame:
+def exact_query(detections: DataFrame, spec: QuerySpec, width: float, height: float, return_all: bool = False, candidate_bindings: DataFrame | None = None, candidate_frames: DataFrame | None = None) -> DataFrame:
+    """candidate_bindings (video, roles), candidate_frames (video, frame): if given, nothing else is looked at."""
+    if candidate_frames is not None:
+        detections = detections.join(candidate_frames.select(*FRAME).distinct(), FRAME, "left_semi")
     typed = typed_objects(detections, spec.role_types)
     tables = {(i, j): relation_of(typed, spec.role_types[i], spec.role_types[j], constraint(c), width, height, spec.theta_parts, spec.distance_parts) for (i, j), c in spec.relations.items()}
-    return ranked_runs(bindings(tables, typed, spec), spec, return_all)
+    bound = bindings(tables, typed, spec)
+    if candidate_bindings is not None:
+        bound = bound.join(candidate_bindings, ["video", *(f"role_{i}" for i in range(len(spec.role_types)))], "left_semi")
+    return ranked_runs(bound, spec, return_all)
+
+
+def run_stats(bound: DataFrame, results: DataFrame) -> DataFrame:
+    """One row: candidate_bindings, candidate_frames (bindings and frames that meet all relations), results."""
+    roles = [c for c in bound.columns if c.startswith("role_")]
+    return bound.agg(F.countDistinct("video", *roles).alias("candidate_bindings"), F.countDistinct(*FRAME).alias("candidate_frames")).crossJoin(results.agg(F.count("*").alias("results")))
 
 
 class DirectedIndex:
@@ -90,8 +102,16 @@ class DirectedIndex:
         hit = self.table.where((F.col("src_class") == src_class) & (F.col("dst_class") == dst_class)).where(constraint(c))
         return from_runs(hit).select(*FRAME, "src", "dst").distinct()
 
-    def query(self, spec: QuerySpec, return_all: bool = False) -> DataFrame:
+    def bound(self, spec: QuerySpec) -> DataFrame:
+        """video, frame, roles that meet all relations."""
         if (spec.theta_parts, spec.distance_parts) != self.parts:
             raise ValueError(f"quantization of the query, {spec.theta_parts}/{spec.distance_parts} parts, isn't that of the index, {self.parts[0]}/{self.parts[1]}")
         tables = {(i, j): self.lookup(spec.role_types[i], spec.role_types[j], c) for (i, j), c in spec.relations.items()}
-        return ranked_runs(bindings(tables, typed_objects(self.detections, spec.role_types), spec), spec, return_all)
+        return bindings(tables, typed_objects(self.detections, spec.role_types), spec)
+
+    def query(self, spec: QuerySpec, return_all: bool = False) -> DataFrame:
+        return ranked_runs(self.bound(spec), spec, return_all)
+
+    def stats(self, spec: QuerySpec) -> DataFrame:
+        bound = self.bound(spec)
+        return run_stats(bound, ranked_runs(bound, spec, True))

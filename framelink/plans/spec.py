@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping
 from dataclasses import dataclass, field
 from itertools import combinations
 
-from pyspark.sql import DataFrame
-
 from ..functions.quantize import DIST_PARTS, THETA_PARTS
 
 
@@ -39,40 +38,33 @@ class QuerySpec:
                 raise ValueError(f"relation {(i, j)} doesn't join two of {n} roles")
 
 
-@dataclass(frozen=True)
-class TemporalPattern:
-    nodes: DataFrame
-    edges: DataFrame
-    length: int
-
-
 def parse_types(text: str) -> list[int]:
     return [int(x) for x in text.split(",") if x.strip()]
 
 
+ENTRY = re.compile(r"\s*(?P<i>\d+)\s*-\s*(?P<j>\d+)\s*:\s*(?P<theta>[^,;:]+),(?P<d>[^,;:]+)")
+
+
 def parse_pair_constraints(text: str, role_count: int) -> dict[tuple[int, int], tuple[float, float]]:
-    """`0-1:1.0,5;0-2:0.5,2`: limits of angle and distance for every pair of roles."""
-    if role_count < 2:
-        return {}
-    out: dict[tuple[int, int], tuple[float, float]] = {}
-    parts = [p.strip() for p in (text or "").split(";") if p.strip()]
-    if not parts:
-        raise ValueError("no pair constraints")
-    for p in parts:
-        roles, colon, limits = p.partition(":")
-        ends, values = roles.split("-"), limits.split(",")
-        if not colon or len(ends) != 2 or len(values) != 2:
-            raise ValueError(f"{p!r} isn't of the form i-j:theta,d")
-        i, j = int(ends[0]), int(ends[1])
-        if i == j:
-            raise ValueError(f"{p!r} joins a role to itself")
-        if not (0 <= i < role_count and 0 <= j < role_count):
-            raise ValueError(f"{p!r} names a role beyond {role_count - 1}")
-        key = (min(i, j), max(i, j))
-        if key in out:
-            raise ValueError(f"{key} is given twice")
-        out[key] = (float(values[0]), float(values[1]))
-    missing = [k for k in combinations(range(role_count), 2) if k not in out]
-    if missing:
-        raise ValueError(f"no limits for {missing}")
+    """`0-1:1.0,5;0-2:0.5,2`: limits of angle and distance, one entry for every pair of roles."""
+    pairs = list(combinations(range(role_count), 2))
+    entries = [e for e in (text or "").split(";") if e.strip()] if pairs else []
+    read = [ENTRY.fullmatch(e) for e in entries]
+    if None in read:
+        raise ValueError(f"{entries[read.index(None)]!r} isn't of the form i-j:theta,d")
+    keys = [tuple(sorted((int(m["i"]), int(m["j"])))) for m in read]
+    if sorted(keys) != pairs:
+        raise ValueError(f"limits are given for {sorted(keys)}, but the pairs of {role_count} roles are {pairs}")
+    return {k: (float(m["theta"]), float(m["d"])) for k, m in zip(keys, read, strict=True)}
+
+
+def parse_relations(text: str) -> dict[tuple[int, int], RelationConstraint]:
+    """`0-1:0,2:-5..5;1-2:0,7:3,4`: distance bins from and to, and angle bins as a range or a list, from the first role to the second."""
+    out = {}
+    for entry in filter(str.strip, text.split(";")):
+        m = re.fullmatch(r"\s*(\d+)-(\d+):(-?\d+),(-?\d+):(?:(-?\d+)\.\.(-?\d+)|(-?\d+(?:,-?\d+)*))\s*", entry)
+        if not m:
+            raise ValueError(f"{entry!r} isn't of the form i-j:from,to:bins")
+        bins = range(int(m[5]), int(m[6]) + 1) if m[5] else map(int, m[7].split(","))
+        out[int(m[1]), int(m[2])] = RelationConstraint(int(m[3]), int(m[4]), frozenset(bins))
     return out

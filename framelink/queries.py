@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from itertools import combinations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import quantize as Q
@@ -13,7 +13,8 @@ from .operators import compressed, match, patterns, ranking, relations, windows
 from .plans import batch, exact
 from .plans.prepared import PreparedEngine
 from .plans.spec import QuerySpec, RelationConstraint, parse_pair_constraints
-from .sources import tracks
+from .sources import artifacts, tracks
+from .sources.shared import shared_folder, stored
 from .streaming.relations import stream_relations
 
 WIDTH, HEIGHT, BASE = 1920, 1080, 3000.0
@@ -56,14 +57,15 @@ def changing(spark, sf_dir) -> DataFrame:
     return tracks.events_as_detections(events.withColumn("kind", F.length("event_type") % 3), 8, 12).drop("class_id").join(events.select(F.col("event_id").alias("row_id"), (F.length("event_type") % 3).alias("class_id")), "row_id")
 
 
-def spans(d: DataFrame, step: int) -> DataFrame:
-    """Windows of `step` frames."""
-    last = d.groupBy("video").agg(F.max("frame").alias("last"))
+def spans(last: DataFrame, step: int) -> DataFrame:
+    """Windows of `step` frames up to each video's last."""
     return windows.windows_from_key_frames(last.select("video", F.explode(F.sequence(F.lit(1).cast("long"), "last", F.lit(step).cast("long"))).alias("start_frame")))
 
 
 def in_windows(d: DataFrame, step: int = STEP, of: DataFrame | None = None) -> DataFrame:
-    return windows.assign_windows(d, spans(d if of is None else of, step))
+    """d with windows of `step` frames; of: the detections that d was joined from."""
+    last = windows.last_frames(d if of is None else of)
+    return windows.assign_windows(d, spans(last, step), last)
 
 
 def normal_edges(d: DataFrame) -> DataFrame:
@@ -157,9 +159,9 @@ def detections_scan(spark, sf_dir):
     return c.select("row_id", "frame", "track_id", F.round(F.col("cx") * 100).alias("cx100"), F.round(F.col("cy") * 100).alias("cy100"))
 
 
-@query(with_("g AS (SELECT unnest(range(1, (SELECT max(frame) FROM raw) + 1)) AS frame), r AS (SELECT * FROM raw WHERE frame % 7 <> 3)", "SELECT g.frame, count(r.track_id) AS n_ids, coalesce(string_agg(r.track_id::VARCHAR, ',' ORDER BY r.row_id), '') AS ids FROM g LEFT JOIN r ON g.frame = r.frame WHERE g.frame <= (SELECT max(frame) FROM r) GROUP BY g.frame"), "frame n_ids", "ids")
+@query(with_("g AS (SELECT unnest(range(1, (SELECT max(frame) FROM raw) + 1)) AS frame)", "SELECT g.frame, count(r.track_id) AS n_ids, coalesce(string_agg(r.track_id::VARCHAR, ',' ORDER BY r.row_id), '') AS ids FROM g LEFT JOIN raw r ON g.frame = r.frame GROUP BY g.frame"), "frame n_ids", "ids")
 def frame_density(spark, sf_dir):
-    f = tracks.frame_ids(detections(spark, sf_dir).where("frame % 7 <> 3"))
+    f = tracks.frame_ids(detections(spark, sf_dir))
     return f.select("frame", F.size("ids").alias("n_ids"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
@@ -347,6 +349,22 @@ def query_stats(spark, sf_dir):
     return match.match_stats(types, windows.filter_multiset(types, DOUBLED), match.strict_match(types, index_of(d), DOUBLED, (3, 2)))
 
 
+_BINS_SQL = "ub AS (SELECT window_id, a, b, count(*) AS bins, max(CASE WHEN theta_bin < {t} AND dist_bin < {d} THEN 1 ELSE 0 END) AS ok FROM (SELECT DISTINCT window_id, a, b, theta_bin, dist_bin FROM (SELECT window_id, sid AS a, eid AS b, theta_bin, dist_bin FROM edge{back})) GROUP BY ALL)"
+_WINDOWS_SQL = "(SELECT count(DISTINCT window_id) FROM types) AS windows_total, (SELECT count(DISTINCT window_id) FROM types WHERE window_id IN (SELECT window_id FROM types WHERE class_id = 0) AND window_id IN (SELECT window_id FROM types WHERE class_id = 1) AND window_id IN (SELECT window_id FROM types WHERE class_id = 2)) AS windows_kept"
+
+
+@query(with_(f"{_match_sql(TRIPLE, (1, 1), False)}, {_BINS_SQL.format(t=1, d=1, back='')}, p AS (SELECT b.*, unnest([(role_0, role_1), (role_0, role_2), (role_1, role_2)]) AS x FROM b)", f"SELECT {_WINDOWS_SQL}, (SELECT count(*) FROM b) AS combinations_total, (SELECT count(*) FROM (SELECT DISTINCT window_id, role_0, role_1, role_2 FROM m)) AS combinations_matched, count(*) AS pair_lookups, coalesce(sum(bins), 0) AS bins_scanned FROM p LEFT JOIN ub ON ub.window_id = p.window_id AND ub.a = p.x[1] AND ub.b = p.x[2]"), "windows_total windows_kept combinations_total combinations_matched pair_lookups bins_scanned")
+def lenient_stats(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    return match.lenient_stats(windows.type_index_last(in_windows(d)), index_of(d), TRIPLE, 1, 1)
+
+
+@query(with_(f"{_match_sql(TRIPLE, (1, 1), True)}, {_BINS_SQL.format(t=1, d=1, back=' UNION ALL SELECT window_id, eid, sid, theta_bin, dist_bin FROM edge')}, p AS (SELECT b.*, unnest([(role_0, role_1), (role_0, role_2), (role_1, role_2)]) AS x, unnest([0, 1, 2]) AS k FROM b), q AS (SELECT p.*, coalesce(bins, 0) AS bins, coalesce(ok, 0) AS ok, min(coalesce(ok, 0)) OVER (PARTITION BY p.window_id, role_0, role_1, role_2 ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM p LEFT JOIN ub ON ub.window_id = p.window_id AND ub.a = p.x[1] AND ub.b = p.x[2])", f"SELECT {_WINDOWS_SQL}, (SELECT count(*) FROM b) AS bindings_total, (SELECT count(*) FROM (SELECT DISTINCT window_id, role_0, role_1, role_2 FROM m)) AS bindings_matched, count(*) AS pair_lookups, coalesce(sum(bins), 0) AS bins_scanned FROM q WHERE coalesce(before, 1) = 1"), "windows_total windows_kept bindings_total bindings_matched pair_lookups bins_scanned")
+def strict_stats(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    return match.strict_stats(windows.type_index_last(in_windows(d)), index_of(d), TRIPLE, (1, 1))
+
+
 _BATCH = [[0, 1], [1, 2], [2, 2]]
 
 
@@ -399,7 +417,7 @@ def rescaled_match(spark, sf_dir):
 
 @query(with_("p AS (SELECT * FROM pos WHERE track_id IN (1, 2, 5) AND frame BETWEEN 11 AND 60), a AS (SELECT frame, arg_min(track_id, (cx, cy, slot)) AS sid FROM p GROUP BY frame)", "SELECT b.frame - 10 AS frame, sid, dst AS eid, theta_bin, dist_bin FROM bins b JOIN a ON a.frame = b.frame AND b.src = a.sid WHERE dst IN (1, 2, 5)"), "frame sid eid theta_bin dist_bin")
 def pattern_extract(spark, sf_dir):
-    return relations.quantized(relations.pattern_extract(detections(spark, sf_dir), [1, 2, 5], 11, 60, HEIGHT, WIDTH)[1])
+    return relations.quantized(relations.pattern_extract(detections(spark, sf_dir), [1, 2, 5], 11, 60, HEIGHT, WIDTH).edges)
 
 
 # --- patterns and compressed graphs ----------------------------------------------------------
@@ -525,3 +543,136 @@ def streamed_relations(spark, sf_dir):
     t = relations.typed_objects(detections(spark, sf_dir))
     frames = t.groupBy("video", "frame").agg(F.collect_list(F.struct("track_id", "class_id", "cx", "cy")).alias("objects"))
     return stream_relations(frames, WIDTH, HEIGHT)
+
+
+@query(with_("c AS (SELECT * FROM edge WHERE frame % 10 <> 0), y AS (SELECT DISTINCT c.window_id, x.class_id AS a, y.class_id AS b, sid, eid FROM c JOIN cls x ON x.frame = c.frame AND x.track_id = sid JOIN cls y ON y.frame = c.frame AND y.track_id = eid)", "SELECT (SELECT count(*) FROM c) AS stored_rows, (SELECT count(DISTINCT frame) FROM bins WHERE frame % 10 = 0) AS fallback_frames, (SELECT count(*) FROM c WHERE window_id <= 3) AS graph_sidecar_supplement_frames, (SELECT count(DISTINCT window_id) FROM c WHERE window_id <= 3) AS graph_only_windows, (SELECT sum(n - 1) FROM (SELECT count(*) AS n FROM raw GROUP BY frame, track_id)) AS duplicate_observation_rows, (SELECT 2 * count(*) FROM y) AS directory_entries, 1 AS has_bytes, 1 AS has_seconds, 1 AS same_again"), "stored_rows fallback_frames graph_sidecar_supplement_frames graph_only_windows duplicate_observation_rows directory_entries has_bytes has_seconds same_again")
+def prepared_metadata(spark, sf_dir):
+    """Counts, bytes and seconds of an engine whose store is part sidecar, part graph; released, it makes the same again."""
+    d = detections(spark, sf_dir)
+    index = stored(index_of(d).where("frame % 10 <> 0"))
+    engine = PreparedEngine(d, WIDTH, HEIGHT, index.where("window_id > 3"), index.where("window_id <= 6"), legacy_single_direction=True)
+    before = engine.fallback_frames().count()
+    engine.release()
+    m = engine.metadata()
+    return m.select("*", (F.col("bytes") > 0).alias("has_bytes"), (F.col("setup_seconds") > 0).alias("has_seconds"), (F.col("fallback_frames") == before).alias("same_again"))
+
+
+_BOUND, _, _RUNS = exact_sql(TWO).rpartition("\n;")  # the bound frames, and their runs
+
+
+@query(f"{_BOUND}, r AS ({_RUNS})\n;SELECT (SELECT count(*) FROM (SELECT DISTINCT role_0, role_1 FROM bound)) AS candidate_bindings, (SELECT count(DISTINCT frame) FROM bound) AS candidate_frames, (SELECT count(*) FROM r) AS results", "candidate_bindings candidate_frames results")
+def directed_stats(spark, sf_dir):
+    return exact.DirectedIndex.build(detections(spark, sf_dir), WIDTH, HEIGHT).stats(TWO)
+
+
+@query(with_("", "SELECT 1 AS raised"), "raised")
+def quantization_error(spark, sf_dir):
+    """A query of other parts than its index is refused."""
+    index = exact.DirectedIndex.build(detections(spark, sf_dir), WIDTH, HEIGHT)
+    try:
+        index.query(QuerySpec("q", (0, 1), {(0, 1): ANY}, theta_parts=12))
+    except ValueError as e:
+        return spark.createDataFrame([(int("quantization" in str(e)),)], "raised int")
+    return spark.createDataFrame([(0,)], "raised int")
+
+
+@query(f"{_BOUND}, w AS (SELECT * FROM bound WHERE role_0 < role_1 AND frame % 3 <> 0)\n;{runs_sql('w', 'role_0, role_1')}", "role_0 role_1 start_frame end_frame length")
+def exact_candidates(spark, sf_dir):
+    """Only given bindings and frames are looked at."""
+    d = detections(spark, sf_dir)
+    pairs = spark.createDataFrame([("events", a, b) for a in range(8) for b in range(a + 1, 8)], "video string, role_0 long, role_1 long")
+    spec = QuerySpec("c", TWO.role_types, TWO.relations)
+    return exact.exact_query(d, spec, WIDTH, HEIGHT, True, candidate_bindings=pairs, candidate_frames=d.where("frame % 3 <> 0").select("video", "frame"))
+
+
+# --- graphs: closures over given edges -------------------------------------------------------
+
+
+@query(with_(_VERTEX_SQL, "SELECT * FROM anc"), "window_id parent child")
+def graph_ancestors(spark, sf_dir):
+    return compressed.ancestors_of(compressed.cg_edges(_vertices(detections(spark, sf_dir))))
+
+
+@query(with_(_VERTEX_SQL + ", cl AS (SELECT window_id, v, sid, eid, theta_bin, dist_bin, frame FROM cp UNION SELECT a.window_id, a.child, p.sid, p.eid, p.theta_bin, p.dist_bin, p.frame FROM anc a JOIN cp p ON p.window_id = a.window_id AND p.v = a.parent)", "SELECT * FROM cl"), "window_id v sid eid theta_bin dist_bin frame")
+def directed_closure(spark, sf_dir):
+    """Directed pairs of each vertex and of all above it, along the graph's own edges."""
+    d = detections(spark, sf_dir)
+    v = _vertices(d)
+    return compressed.cg_closure(v, compressed.cg_pairs(v, index_of(d, PATTERN_STEP)), compressed.ancestors_of(compressed.cg_edges(v)))
+
+
+@query(with_(_VERTEX_SQL, "SELECT DISTINCT window_id, sid, eid, theta_bin, dist_bin, frame FROM cp"), "window_id sid eid theta_bin dist_bin frame")
+def flattened_pairs(spark, sf_dir):
+    d = detections(spark, sf_dir)
+    return compressed.flatten_pairs(compressed.cg_pairs(_vertices(d), index_of(d, PATTERN_STEP)))
+
+
+# --- files: write, read back -----------------------------------------------------------------
+
+
+def _csv(spark, sf_dir, with_class: bool) -> str:
+    """The events as a tracker's file: boxes of 4 x 6 around the centres."""
+    d, path = detections(spark, sf_dir), f"{shared_folder(spark)}/tracks"
+    box = [F.col("frame"), F.col("track_id"), F.col("cx") - 2, F.col("cy") - 3, F.lit(4.0), F.lit(6.0), F.lit(0.9)]
+    d.select(*[c.alias(f"c{k}") for k, c in enumerate([*box, *([F.col("class_id")] if with_class else []), F.lit(-1), F.lit(-1), F.lit(-1)])]).write.csv(path, header=False)
+    return path
+
+
+_CSV_SQL = "SELECT frame, track_id, {} AS class_id, round(cx * 100) AS cx100, round(cy * 100) AS cy100 FROM raw"
+_CSV_COLUMNS = "frame track_id class_id cx100 cy100"
+
+
+def _hundredths(c: DataFrame) -> DataFrame:
+    return c.select("frame", "track_id", "class_id", F.round(F.col("cx") * 100).alias("cx100"), F.round(F.col("cy") * 100).alias("cy100"))
+
+
+@query(with_("", _CSV_SQL.format("class_id")), _CSV_COLUMNS)
+def csv_scan(spark, sf_dir):
+    return _hundredths(tracks.centers(tracks.read_tracks(spark, _csv(spark, sf_dir, True), "events")))
+
+
+@query(with_("", _CSV_SQL.format("5")), _CSV_COLUMNS)
+def csv_scan_single_class(spark, sf_dir):
+    return _hundredths(tracks.centers(tracks.read_tracks(spark, _csv(spark, sf_dir, False), "events", class_id=5)))
+
+
+@query(with_("", _CSV_SQL.format("class_id")), _CSV_COLUMNS)
+def cached_scan(spark, sf_dir):
+    """The second scan reads the Parquet copy of the first."""
+    path = _csv(spark, sf_dir, True)
+    tracks.cached_tracks(spark, path, f"{path}.cache", video="events")
+    return _hundredths(tracks.centers(tracks.cached_tracks(spark, "none.txt", f"{path}.cache")))
+
+
+@query(with_("k AS (SELECT unnest(range(1, (SELECT max(frame) FROM raw) + 1, 25)) AS start_frame)", "SELECT 'events_0.6_index' AS name, (SELECT count(*) FROM types) AS rows, 1 AS has_bytes UNION ALL SELECT 'events_0.6_node_index', (SELECT count(*) FROM (SELECT DISTINCT * FROM edge)), 1 UNION ALL SELECT 'key_frames', (SELECT count(*) FROM k), 1 UNION ALL SELECT 'resolved', 3, 1"), "rows has_bytes", "name")
+def artifact_round_trip(spark, sf_dir):
+    """Indexes and key frames written under their names, resolved, read back and counted."""
+    d, base = detections(spark, sf_dir), shared_folder(spark)
+    last = windows.last_frames(d)
+    keys = spans(last, STEP).select("video", "start_frame")
+    names = [p.removeprefix(f"{base}/") for p in artifacts.artifact_paths("events", 0.6, base_dir=base)]
+    seconds = artifacts.write_index({names[0]: windows.type_index_last(in_windows(d)), names[2]: index_of(d), "key_frames": keys}, base)
+    found = artifacts.resolve_paths(spark, "events", 0.6, base)
+    again = artifacts.resolve_paths(spark, "events", None, base)
+    right = (found[0] == f"{base}/{names[0]}") + (found[1] is None) + (again[0] == f"{base}/events_index")
+    assert artifacts.key_frames(spark, f"{base}/key_frames").columns == ["video", "start_frame"]
+    out = artifacts.manifest(spark, base, seconds).select("name", "rows", (F.col("bytes") > 0).alias("has_bytes"))
+    return out.unionByName(spark.createDataFrame([("resolved", right, True)], "name string, rows long, has_bytes boolean"))
+
+
+@query(
+    with_(
+        ", ".join(_match_sql(t, (2, 2), True).replace("b AS (", f"b{k} AS (").replace(" FROM b ", f" FROM b{k} b ").replace("h AS (", f"h{k} AS (").replace("FROM h ", f"FROM h{k} ").replace("m AS (", f"m{k} AS (") for k, t in enumerate(_BATCH)),
+        " UNION ALL ".join(f"SELECT 'q{k} (' || role_0 || ', ' || role_1 || ') frames ' || frames AS line, row_number() OVER (ORDER BY n_frames DESC, role_0, role_1) AS rank FROM ({_ranked(t, 2, 3).replace('FROM m ', f'FROM m{k} ').replace('ORDER BY frame::VARCHAR', 'ORDER BY frame').replace('DISTINCT frame::VARCHAR', 'DISTINCT frame')})" for k, t in enumerate(_BATCH)),
+    ).replace("string_agg(DISTINCT frame, ',' ORDER BY frame)", "array_to_string(list_sort(list(DISTINCT frame)), ',')"),
+    "rank",
+    "line",
+)
+def batch_report(spark, sf_dir):
+    """The text report of a batch, read back; lines of a query are in rank order."""
+    d, path = detections(spark, sf_dir), f"{shared_folder(spark)}/report"
+    found = stored(batch.batch(windows.type_index_last(in_windows(d)), index_of(d), _BATCH, limits=(2, 2), topk=3))
+    artifacts.append_report(found, path)
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("at"))
+    by = Window.partitionBy(F.split("value", " ")[0]).orderBy("file", "at")
+    return lines.select(F.col("value").alias("line"), F.row_number().over(by).alias("rank"))

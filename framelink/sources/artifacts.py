@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 import time
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import exists
+
 # The stems of the artifacts.
 KINDS = ("index", "cp_graphs", "node_index")
 
@@ -22,16 +23,12 @@ def artifact_paths(video: str, s: float, output_tag: str = "", base_dir: str = "
     return (*(f"{stem}_{k}" for k in KINDS), f"{stem}_time.txt")
 
 
-def resolve_paths(video: str, s: float, base_dir: str = "index") -> tuple[str, str | None, str]:
-    """Each artifact under its name with s if that exists, else under the name without; no graph gives None."""
-
-    def pick(kind: str, must: bool) -> str | None:
-        own, plain = Path(base_dir, f"{video}_{s}_{kind}"), Path(base_dir, f"{video}_{kind}")
-        if own.exists() or (must and not plain.exists()):
-            return str(own)
-        return str(plain) if plain.exists() else None
-
-    return pick("index", True), pick("cp_graphs", False), pick("node_index", True)
+def resolve_paths(spark: SparkSession, video: str, s: float | None = None, base_dir: str = "index") -> tuple[str, str | None, str]:
+    """Of each artifact the first that exists of its name with s (if given) and without; a missing graph gives None, the others their first name."""
+    stems = [video] if s is None else [f"{video}_{s}", video]
+    names = {k: [f"{base_dir}/{stem}_{k}" for stem in stems] for k in KINDS}
+    found = {k: next((p for p in paths if exists(spark, p)), None) for k, paths in names.items()}
+    return found["index"] or names["index"][0], found["cp_graphs"], found["node_index"] or names["node_index"][0]
 
 
 def write_index(tables: dict[str, DataFrame], base: str, partition_by: dict[str, list[str]] | None = None) -> dict[str, float]:
@@ -63,11 +60,13 @@ def key_frames(spark: SparkSession, path_or_rows) -> DataFrame:
 
 
 def report_lines(results: DataFrame) -> DataFrame:
-    """One text line a binding, in rank order: its roles and its sorted frames."""
+    """query_id, rank, value: one text line a binding in rank order, with its roles and its sorted frames."""
     roles = sorted(c for c in results.columns if c.startswith("role_"))
-    text = F.concat_ws(" ", F.concat(F.lit("("), F.concat_ws(", ", *roles), F.lit(")")), F.lit("frames"), F.array_join(F.array_sort("frames").cast("array<string>"), ","))
-    return results.select(F.concat_ws(" ", F.col("query_id"), text).alias("value"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n_frames"), *roles))
+    text = F.concat_ws(" ", "query_id", F.concat(F.lit("("), F.concat_ws(", ", *roles), F.lit(")")), F.lit("frames"), F.array_join(F.array_sort("frames").cast("array<string>"), ","))
+    return results.select("query_id", rank.alias("rank"), text.alias("value"))
 
 
 def append_report(results: DataFrame, path: str) -> None:
-    report_lines(results).write.mode("append").text(path)
+    """Lines are sorted over all part files, whose names keep their order."""
+    report_lines(results).orderBy("query_id", "rank").select("value").write.mode("append").text(path)

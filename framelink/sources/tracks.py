@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .shared import exists
+
 MULTI = "frame long, id long, left double, top double, width double, height double, conf double, class int, x double, y double, z double"
 SINGLE = "frame long, id long, left double, top double, width double, height double, conf double, x double, y double, z double"
 DETECTION = ["video", "row_id", "frame", "track_id", "class_id", "cx", "cy", "width", "height"]
@@ -24,6 +26,13 @@ def read_tracks(spark: SparkSession, path: str, video: str | None = None, class_
     return rows.select(name.alias("video"), F.monotonically_increasing_id().alias("row_id"), "frame", F.col("id").alias("track_id"), F.col("class").alias("class_id"), "left", "top", "width", "height")
 
 
+def cached_tracks(spark: SparkSession, path: str, cache: str, **options) -> DataFrame:
+    """read_tracks(path), parsed once and kept as Parquet at `cache`, which is read as it stands if it's there."""
+    if not exists(spark, f"{cache}/_SUCCESS"):
+        read_tracks(spark, path, **options).write.mode("overwrite").parquet(cache)
+    return spark.read.parquet(cache)
+
+
 def centers(boxes: DataFrame) -> DataFrame:
     """Boxes to centre points; frames below 1 are dropped."""
     return boxes.where("frame >= 1").select("video", "row_id", "frame", "track_id", "class_id", (F.col("left") + F.col("width") / 2).alias("cx"), (F.col("top") + F.col("height") / 2).alias("cy"), "width", "height")
