@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import quantize as Q
 from ..operators import compressed, match, patterns, ranking, relations, windows
+from ..sources.shared import stored
 
 
 def build_indexes(detections: DataFrame, keys: DataFrame, width: float = 1920, height: float = 1080, theta_parts: int = Q.THETA_PARTS, dist_parts: int = Q.DIST_PARTS, mode: str = "normal", all_types: bool = False) -> dict[str, DataFrame]:
@@ -15,8 +16,8 @@ def build_indexes(detections: DataFrame, keys: DataFrame, width: float = 1920, h
     last = windows.last_frames(detections)
     inside = windows.assign_windows(detections, spans, last)
     e = relations.quantized(relations.edges(detections, height, width, mode), theta_parts, dist_parts)
-    index = windows.edge_index(windows.assign_windows(e, spans, last))
-    vertices = compressed.cg_vertices(patterns.node_sets(inside.select("video", "window_id", "frame", "track_id").distinct()))
+    index = stored(windows.edge_index(windows.assign_windows(e, spans, last)))  # these two are read by several others
+    vertices = stored(compressed.cg_vertices(patterns.node_sets(inside.select("video", "window_id", "frame", "track_id").distinct())))
     types = windows.type_index_all(inside) if all_types else windows.type_index_last(inside)
     return {"type_index": types, "edge_index": index, "cg_vertices": vertices, "cg_edges": compressed.cg_edges(vertices), "cg_pairs": compressed.cg_pairs(vertices, index)}
 

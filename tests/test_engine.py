@@ -491,4 +491,3 @@ def test_command_line(spark, tmp_path, capsys):
     assert "name=type_index rows=7" in run("repair", *files, *index, "--keys", str(tmp_path / "keys"))
     found = run("directed", *files, "--types", "0,1", "--relations", "0-1:2,2:0", "--frames", "3", "--stats")
     assert "role_0=10 role_1=20 start_frame=1 end_frame=3" in found and "candidate_frames=5" in found
-    assert "rows in" in run("build", *files, "--index", str(tmp_path / "own"), "--similarity", "0.5", "--all-types")
