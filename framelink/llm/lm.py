@@ -27,7 +27,6 @@ table gives an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import struct
 import uuid
 
 import numpy as np
@@ -38,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, ship, shuffle_partitions, table
 from .elias_fano import NONE, TrieLevel
-from .textnp import U, Words, chunks, mix, ranked
+from .textnp import U, Words, chunks, mix, pack, ranked, unpack
 
 PRIOR, PRIOR3 = 1000.0, 5.0  # K, K3: of seven pairs from 50 to 1000 and 1 to 300 the best on held-out texts at sf0.1
 END = U(0x454E44)
@@ -50,19 +49,6 @@ MOST_RANGES = 1 << 16
 TOP = 64  # words that a range reports as perhaps frequent
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers from 0 as byte planes, compressed."""
-    size = 8 if len(x) and int(x.max()) >> 32 else 4
-    planes = np.ascontiguousarray(x.astype(f"<u{size}")).view(np.uint8).reshape(-1, size).T.tobytes()
-    return struct.pack("<BQ", size, len(x)) + pa.compress(planes, codec="zstd", asbytes=True)
-
-
-def unpack(data: bytes) -> np.ndarray:
-    size, n = struct.unpack_from("<BQ", data)
-    planes = np.frombuffer(pa.decompress(data[9:], n * size, codec="zstd", asbytes=True), np.uint8) if n else np.zeros(0, np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(f"<u{size}").ravel().astype(np.int64)
-
-
 def steps(x: np.ndarray, first: np.ndarray) -> np.ndarray:
     """Ascending numbers in groups that begin at `first`: the first of each group, then the differences."""
     out = np.diff(x, prepend=0)

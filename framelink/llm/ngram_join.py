@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 
 from .common import SHINGLE, Scratch, ship, table
 from .components import components
-from .textnp import U, cells, chunks, distinct_shingles, set_keys
+from .textnp import U, cells, chunks, distinct_shingles, pack, set_keys, unpack
 
 PERCENT = 80
 
@@ -112,7 +112,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
             p, q = slice(ends[k], ends[k + 1]), slice(hot_ends[k], hot_ends[k + 1])
             own = text[p]
             first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]])) if len(own) else np.zeros(0, np.int64)
-            out.append((int(k), uid, own[first].astype(np.uint32).tobytes(), np.diff(np.append(first, len(own))).astype(np.uint32).tobytes(), _seven(h[p]), None, _seven(hot[q]), hot_n[q].tobytes(), *[None] * 3))
+            out.append((int(k), uid, pack(np.diff(own[first].astype(np.int64), prepend=0)), pack(np.diff(np.append(first, len(own)))), _seven(h[p]), None, _seven(hot[q]), pack(hot_n[q]), *[None] * 3))
         return pa.RecordBatch.from_arrays(_rows(out), NAMES)
 
     def deal(batches):
@@ -138,17 +138,17 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
         top = np.uint8(bucket >> (bits - 8))
         tok, hot = _eight(col["toks"], top), _eight(col["hot"], top)
         every, at = np.unique(np.concatenate([tok, hot]), return_inverse=True)
-        weight = np.concatenate([np.ones(len(tok), np.int64), *(np.frombuffer(x, np.uint32) for x in col["hot_n"])])
+        weight = np.concatenate([np.ones(len(tok), np.int64), *map(unpack, col["hot_n"])])
         df = np.bincount(at, weight, minlength=len(every)).astype(np.uint32)[at]
         out, i, j = [], 0, len(tok)
         for uid, x, c, low, hot in zip(col["uid"], col["texts"], col["counts"], col["toks"], col["hot"], strict=True):
-            x, c, low = np.frombuffer(x, np.uint32), np.frombuffer(c, np.uint32), np.frombuffer(low, np.uint8).reshape(-1, 7)
+            x, c, low = np.cumsum(unpack(x)), unpack(c), np.frombuffer(low, np.uint8).reshape(-1, 7)
             own, more = df[i : i + len(low)], df[j : j + len(hot) // 7]
             i, j = i + len(low), j + len(hot) // 7
             many = own > 1
             if many.any() or len(hot):
-                left = np.add.reduceat(many, np.cumsum(c, dtype=np.int64) - c) if len(c) else c
-                out.append((bucket, uid, x[left > 0].tobytes(), left[left > 0].astype(np.uint32).tobytes(), low[many].tobytes(), own[many].tobytes(), hot, more.tobytes(), None, None, None))
+                left = np.add.reduceat(many.astype(np.int64), np.cumsum(c) - c) if len(c) else c
+                out.append((bucket, uid, pack(np.diff(x[left > 0], prepend=0)), pack(left[left > 0]), low[many].tobytes(), pack(own[many]), hot, pack(more), None, None, None))
         return pa.Table.from_arrays(_rows(out), NAMES) if out else t.slice(0, 0)
 
     def whole(t: pa.Table) -> pa.Table:
@@ -159,15 +159,15 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
             else:
                 rows.append(r)
         ids, n, key = np.frombuffer(head["ids"], np.int64), np.frombuffer(head["sizes"], np.int32), np.frombuffer(head["keys"], np.uint8).reshape(-1, 16)
-        read = lambda c, kind: np.concatenate([np.zeros(0, kind), *(np.frombuffer(r[c], kind) for r in rows)])
+        read = lambda c: np.concatenate([np.zeros(0, np.int64), *(unpack(r[c]) for r in rows)])
         top = np.array([r["bucket"] >> (bits - 8) for r in rows], np.uint8)
-        text = np.repeat(read("texts", np.uint32), read("counts", np.uint32)).astype(np.int64)
+        text = np.repeat(np.concatenate([np.zeros(0, np.int64), *(np.cumsum(unpack(r["texts"])) for r in rows)]), read("counts"))
         hot, waiting, place = np.frombuffer(head["hot"], "<u8"), np.frombuffer(head["texts"], np.uint32), np.frombuffer(head["counts"], np.uint32)
         hot_df = np.zeros(len(hot), np.uint32)
-        hot_df[np.searchsorted(hot, _eight([r["hot"] for r in rows], top))] = read("hot_n", np.uint32)
+        hot_df[np.searchsorted(hot, _eight([r["hot"] for r in rows], top))] = read("hot_n")
         text = np.concatenate([text, waiting.astype(np.int64)])
         tok = np.concatenate([_eight([r["toks"] for r in rows], top), hot[place]]).view(np.int64)
-        df = np.concatenate([read("df", np.uint32), hot_df[place]]).astype(np.int32)
+        df = np.concatenate([read("df"), hot_df[place]]).astype(np.int32)
         per = np.bincount(text, minlength=len(ids))
         enough = (per * 100 >= n.astype(np.int64) * percent) & (n > 0)
         order = np.argsort(text, kind="stable")
