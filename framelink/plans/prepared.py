@@ -64,8 +64,9 @@ class PreparedEngine:
         return self.prepare()._tables[name]
 
     def _agrees(self) -> Column:
-        """The stored bins can stand for the actual ones."""
-        theta = F.when(F.col("reverse"), (Q.reversed_bin(F.col("s_theta"), self.parts[0]) == F.col("theta_bin")) | ((F.col("s_theta") == 0) & (F.col("theta_bin") == self.parts[0])) | (F.abs(F.pmod(F.col("s_theta") + self.parts[0] - F.col("theta_bin") + self.parts[0], F.lit(2 * self.parts[0])) - self.parts[0]) <= 1)).otherwise(F.col("s_theta") == F.col("theta_bin"))
+        """The stored bins can stand for the actual ones. Equal points have angle 0 and distance 0 from either end; a wrong bin of that kind fails when it is read forwards."""
+        same = (F.col("s_theta") == 0) & (F.col("theta_bin") == 0) & (F.col("s_dist") == 0) & (F.col("dist_bin") == 0)
+        theta = F.when(F.col("reverse"), same | (Q.reversed_bin(F.col("s_theta"), self.parts[0]) == F.col("theta_bin")) | ((F.col("s_theta") == 0) & (F.col("theta_bin") == self.parts[0])) | (F.abs(F.pmod(F.col("s_theta") + self.parts[0] - F.col("theta_bin") + self.parts[0], F.lit(2 * self.parts[0])) - self.parts[0]) <= 1)).otherwise(F.col("s_theta") == F.col("theta_bin"))
         s, a = self.indexed_scale / self.parts[1], self.scale / self.parts[1]
         dist = F.col("s_dist") == F.col("dist_bin") if self.indexed_scale == self.scale else (F.col("s_dist") * F.lit(s) < (F.col("dist_bin") + 1) * F.lit(a)) & (F.col("dist_bin") * F.lit(a) < (F.col("s_dist") + 1) * F.lit(s))
         return theta & dist

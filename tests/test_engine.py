@@ -345,6 +345,18 @@ def test_engine_reverse_boundaries(spark):
         assert answers(engine(spark, det(spark, rows)).query(spec)) == brute(rows, spec)
 
 
+def test_engine_audit_of_equal_points(spark):
+    """Two objects in one place are stored as angle 0, distance 0, which is right from both ends; a near pair stored so is not."""
+    d = det(spark, [(f, i, c, x, 20.0) for f in (1, 2) for i, c, x in ((10, 0, 20.0), (20, 1, 20.0), (30, 2, 70.0))])
+    for e in (engine(spark, d), engine(spark, d, size=200)):
+        assert fallback(e) == []
+        assert answers(e.query(QuerySpec("q", (1, 0), {(0, 1): RelationConstraint(0, 0, frozenset({0}))}))) == [(20, 10, 1, 2)]
+    near = det(spark, [(1, 10, 0, 20.0, 20.0), (1, 20, 1, 19.0, 19.9)])
+    assert bins((20.0, 20.0), (19.0, 19.9)) == (-10, 0)
+    wrong = spark.createDataFrame([("v", 1, 10, 20, 0, 0, 1)], "video string, window_id int, sid long, eid long, theta_bin int, dist_bin int, frame long")
+    assert fallback(PreparedEngine(near, 100, 100, wrong, legacy_single_direction=True)) == [1]
+
+
 def test_engine_rescaled_and_options(spark):
     d = det(spark, TRACK)
     e = engine(spark, d, size=200)
