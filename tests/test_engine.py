@@ -368,6 +368,14 @@ def test_engine_audit_of_equal_points(spark):
     assert fallback(PreparedEngine(near, 100, 100, wrong, legacy_single_direction=True)) == [1]
 
 
+def test_metadata_of_equal_points(spark):
+    """Two objects in one place cost no fallback frame, wherever their pair is stored; a frame that isn't stored does."""
+    d = det(spark, [(f, i, c, 20.0, 20.0) for f in (1, 2, 3) for i, c in ((10, 0), (20, 1))])
+    whole = engine(spark, d, "frame = 3").stored
+    m = PreparedEngine(d, 100, 100, whole.where("frame = 1"), whole, legacy_single_direction=True).metadata().first()
+    assert (m.stored_rows, m.fallback_frames, m.graph_sidecar_supplement_frames, m.directory_entries) == (2, 1, 1, 2)
+
+
 def test_engine_rescaled_and_options(spark):
     d = det(spark, TRACK)
     e = engine(spark, d, size=200)
