@@ -19,11 +19,11 @@ MODES = ("normal", "complete", "pattern")
 
 
 def objects(detections: DataFrame) -> DataFrame:
-    """video, frame, track_id, cx, cy, slot, classes: the last row's point, the first row's place, every class seen."""
+    """video, frame, track_id, cx, cy, slot, classes: the last row's point (of rows with one row_id the largest, so that every pass finds the same), the first row's place, every class seen."""
     return (
         detections.repartition(*FRAME)
         .groupBy(*FRAME, "track_id")
-        .agg(F.max_by(F.struct("cx", "cy"), "row_id").alias("p"), F.min("row_id").alias("slot"), F.collect_set("class_id").alias("classes"))
+        .agg(F.max(F.struct("row_id", "cx", "cy")).alias("p"), F.min("row_id").alias("slot"), F.collect_set("class_id").alias("classes"))
         .select(*FRAME, "track_id", "p.cx", "p.cy", "slot", "classes")
     )
 

@@ -376,6 +376,18 @@ def test_metadata_of_equal_points(spark):
     assert (m.stored_rows, m.fallback_frames, m.graph_sidecar_supplement_frames, m.directory_entries) == (2, 1, 1, 2)
 
 
+def test_metadata_of_repeated_row_ids(spark):
+    """Where rows of a track share frame and row_id, index and audit take the same point, in whatever order they meet the rows."""
+    rows = [("v", 0, 1, 10, 0, 20.0, 20.0), ("v", 1, 1, 20, 1, 70.0, 20.0), ("v", 1, 1, 20, 1, 20.0, 90.0), ("v", 2, 2, 10, 0, 20.0, 20.0), ("v", 3, 2, 20, 1, 70.0, 20.0)]
+    up, down = (spark.createDataFrame(r, DET).coalesce(1) for r in (rows, rows[::-1]))
+    want = [(1, 10, 20.0, 20.0), (1, 20, 70.0, 20.0), (2, 10, 20.0, 20.0), (2, 20, 70.0, 20.0)]
+    for d in (up, down):
+        assert sorted(tuple(r) for r in relations.positions(d).select("frame", "track_id", "cx", "cy").collect()) == want
+    for d, of in product((up, down), repeat=2):
+        m = PreparedEngine(d, 100, 100, engine(spark, of).stored, legacy_single_direction=True).metadata().first()
+        assert (m.stored_rows, m.fallback_frames, m.duplicate_observation_rows, m.directory_entries) == (2, 0, 1, 2)
+
+
 def test_engine_rescaled_and_options(spark):
     d = det(spark, TRACK)
     e = engine(spark, d, size=200)
