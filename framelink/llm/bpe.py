@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import kept, lean, ship, table
 from .textnp import chunks
 
 CHUNK_BYTES = 1 << 20
@@ -198,9 +198,6 @@ class ByteBPE:
         return b"".join(map(self.bytes.__getitem__, ids))
 
 
-_made: dict[str, ByteBPE] = {}
-
-
 def bpe_map(docs: DataFrame, vocab: str, pattern: str, row, schema: str) -> DataFrame:
     """row(codec, ids) for each (doc_id, text) of docs, in columns after doc_id."""
     ship(docs.sparkSession)
@@ -209,9 +206,7 @@ def bpe_map(docs: DataFrame, vocab: str, pattern: str, row, schema: str) -> Data
     sent, name = docs.sparkSession.sparkContext.broadcast(data), hashlib.md5(data + pattern.encode()).hexdigest()
 
     def run(batches):
-        if name not in _made:
-            _made[name] = ByteBPE(read_ranks(sent.value), pattern)
-        codec = _made[name]
+        codec = kept(name, lambda: ByteBPE(read_ranks(sent.value), pattern))
         names = None
         for b in batches:
             for lo, hi in chunks(b.column(1), CHUNK_BYTES):
@@ -220,7 +215,7 @@ def bpe_map(docs: DataFrame, vocab: str, pattern: str, row, schema: str) -> Data
                 names = ["doc_id", *rows[0]]
                 yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo), *(pa.array([r[c] for r in rows]) for c in names[1:])], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id long, {schema}")
+    return docs.select("doc_id", "text").mapInArrow(lean(run, name), f"doc_id long, {schema}")
 
 
 def encode(docs: DataFrame, vocab: str, pattern: str) -> DataFrame:

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +33,37 @@ def ship(spark: SparkSession) -> None:
         env["PYTHONPATH"] = os.pathsep.join(x for x in (root, env.get("PYTHONPATH", "")) if x)
 
 
+_kept: dict[str, object] = {}
+
+
+def kept(name: str, make: Callable[[], object]):
+    """What an operator builds once for all tasks of a Python worker. A worker keeps that of one operator only."""
+    if name not in _kept:
+        _kept.clear()
+        _kept[name] = make()
+    return _kept[name]
+
+
+def trim() -> None:
+    """Give freed memory back to the system; a worker outlives its task, and so would its unused pages."""
+    pa.default_memory_pool().release_unused()
+    if give := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        give(0)
+
+
+def lean(run: Callable[[Iterator], Iterator], name: str = "") -> Callable[[Iterator], Iterator]:
+    """run for mapInArrow, without what other operators left in the worker, and leaving no more than kept(name)."""
+
+    def task(batches):
+        for other in set(_kept) - {name}:
+            del _kept[other]
+        trim()
+        yield from run(batches)
+        trim()
+
+    return task
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

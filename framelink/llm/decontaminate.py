@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ship, table
+from .common import lean, ship, table
 from .textnp import Words, chunks
 
 GRAM = 3
@@ -178,7 +178,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(df[some])], ["gram", "df"])
 
         df = np.zeros(len(items.gram), np.int64)
-        sums = docs.select("text").mapInArrow(count, "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # a row for each trigram of the block at most
+        sums = docs.select("text").mapInArrow(lean(count), "gram long, df long").groupBy("gram").agg(F.sum("df").alias("df")).toArrow()  # a row for each trigram of the block at most
         df[sums.column("gram").to_numpy()] = sums.column("df").to_numpy()
         counted.destroy()
         items.keep_rare(df)
@@ -193,7 +193,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
                         doc, item, *rest = zip(*found, strict=True)
                         yield pa.RecordBatch.from_arrays([b.column(0).slice(lo, hi - lo).take(pa.array(doc)), pa.array(items.ids[list(item)]), *map(pa.array, rest)], ["doc_id", "item_id", "score", "first_word", "last_word", "n_seeds"])
 
-        part = docs.mapInArrow(run, schema)
+        part = docs.mapInArrow(lean(run), schema)
         out = part if out is None else out.unionByName(part)
     return spark.createDataFrame([], schema) if out is None else out
 

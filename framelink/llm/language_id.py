@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import crc32_id, ship, table
+from .common import crc32_id, kept, lean, ship, table
 from .textnp import chunks
 
 DIM = 1024
@@ -35,13 +35,14 @@ CHUNK_BYTES = 1 << 20
 UNIT = 1 << 20
 UND = "und"
 
-_tables: list[np.ndarray] = []
+KEPT = "language_id"
 
 
-def _setup() -> list[np.ndarray]:
+def _setup() -> tuple[np.ndarray, ...]:
     """Class of each code point (0: no letter), and the letter vectors at the three places of a trigram."""
-    if not _tables:
-        cls = np.zeros(0x110000, np.int64)
+
+    def make():
+        cls = np.zeros(0x110000, np.int16)
         for i in range(0x110000):
             c = chr(i)
             if c.isalpha():
@@ -49,8 +50,10 @@ def _setup() -> list[np.ndarray]:
                 k = ord(low) if len(low) == 1 else i
                 cls[i] = k if k < DIRECT else DIRECT + k % (CLASSES - DIRECT)
         v = np.random.default_rng(7).integers(0, 2, (CLASSES, DIM), np.int8) * np.int8(2) - np.int8(1)
-        _tables.extend([cls, v, np.roll(v, 1, axis=1), np.roll(v, 2, axis=1)])
-    return _tables
+        wide = np.concatenate([v[:, -2:], v], axis=1)  # rolled vectors are parts of it
+        return cls, wide[:, 2:], wide[:, 1:-1], wide[:, :-2]
+
+    return kept(KEPT, make)
 
 
 def profiles(texts: list[str | None]):
@@ -58,7 +61,7 @@ def profiles(texts: list[str | None]):
     cls, a, b, c = _setup()
     texts = [f" {t or ''} " for t in texts]
     points = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    kind = cls[points]
+    kind = cls[points].astype(np.int64)
     doc = np.repeat(np.arange(len(texts)), np.fromiter(map(len, texts), np.int64, len(texts)))
     keep = kind > 0
     some = np.bincount(doc[keep], minlength=len(texts)) > 0
@@ -106,7 +109,7 @@ def learn(labelled: DataFrame, max_train: int = MAX_TRAIN) -> tuple[list[str], n
         if sums:
             yield pa.RecordBatch.from_arrays([pa.array(list(sums)), pa.array(list(sums.values()), pa.list_(pa.int64()))], ["lang", "v"])
 
-    sums = labelled.select("text", "lang").mapInArrow(run, "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
+    sums = labelled.select("text", "lang").mapInArrow(lean(run, KEPT), "lang string, v array<long>").select("lang", F.posexplode("v").alias("i", "x"))
     rows = sums.groupBy("lang", "i").agg(F.sum("x").alias("x")).groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("i", "x"))).alias("v")).select("lang", "v.x").orderBy("lang").collect()
     p = np.array([r["x"] for r in rows], np.float64).reshape(len(rows), DIM)
     return [r["lang"] for r in rows], (p / np.maximum(np.linalg.norm(p, axis=1, keepdims=True), 1e-9)).astype(np.float32)
@@ -132,7 +135,7 @@ def predict(docs: DataFrame, langs: list[str], prototypes: np.ndarray, text_col:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names[best], pa.string()), pa.array(score, pa.float64())], [*part.schema.names, "lang_pred", "score"])
 
     schema = T.StructType([*docs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType())])
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(lean(run, KEPT), schema)
 
 
 def held_out() -> F.Column:

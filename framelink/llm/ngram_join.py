@@ -38,7 +38,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SHINGLE, Scratch, ship, table
+from .common import SHINGLE, Scratch, lean, ship, table, trim
 from .components import components
 from .textnp import U, cells, chunks, distinct_shingles, pack, set_keys, unpack
 
@@ -48,6 +48,7 @@ PERCENT = 80
 PARTS = "bucket int, uid long, texts binary, counts binary, toks binary, df binary, hot binary, hot_n binary, ids binary, sizes binary, keys binary"
 NAMES = [c.split()[0] for c in PARTS.split(", ")]
 BATCH = 1_500_000  # shingles that a task packs at once
+CHUNK_BYTES = 1 << 20  # of text whose shingles are made at once
 OFTEN = 8  # texts of a batch from which a shingle travels once for all of them
 RANGE_BYTES = 16 << 20  # of text for each range, until cells of a batch and range would hold a few dozen shingles only
 FEWEST, MOST = 1 << 8, 1 << 17  # ranges; 2^8 leaves 7 bytes of a hash to be sent
@@ -87,26 +88,37 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
 
     def often(h: np.ndarray) -> np.ndarray:
         """Of the hashes of a batch, those that occur OFTEN times or more, ascending."""
-        slot = (h >> U(43)).astype(np.int64)
-        known, n = np.unique(h[(np.bincount(slot, minlength=1 << 21) >= OFTEN)[slot]], return_counts=True)
+        slot = (h >> U(43)).astype(np.int32)
+        met = np.zeros(1 << 21, np.int32)
+        for lo in range(0, len(slot), 1 << 19):
+            met += np.bincount(slot[lo : lo + (1 << 19)], minlength=1 << 21)
+        known, n = np.unique(h[(met >= OFTEN)[slot]], return_counts=True)
         return known[n >= OFTEN]
 
     def packed(uid: int, parts: list[tuple]):
         ids, n, key = (np.concatenate([p[k] for p in parts]) for k in (0, 1, 2))
         before = np.cumsum([0, *(len(p[0]) for p in parts)])
-        text, h = np.concatenate([p[3] + np.uint32(b) for p, b in zip(parts, before, strict=False)]), np.concatenate([p[4] for p in parts])
+        text = np.concatenate([p[3] + np.uint32(b) for p, b in zip(parts, before, strict=False)])
+        h = np.concatenate([p[4] for p in parts])
+        parts.clear()  # each array from here on is freed once the next is made from it
         once = np.zeros(len(ids), bool)
         once[np.unique(key.view("V16").ravel(), return_index=True)[1]] = True
-        text, h = text[once[text]], h[once[text]]
+        if not once.all():
+            h = h[once[text]]
+            text = text[once[text]]
         hot = often(h)
-        place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1))
+        place = np.minimum(np.searchsorted(hot, h), max(0, len(hot) - 1)).astype(np.uint32)
         is_hot = hot[place] == h if len(hot) else np.zeros(len(h), bool)
         hot_n = np.bincount(place[is_hot], minlength=len(hot)).astype(np.uint32)
         # The texts of often-met shingles stay with the batch: (text, number of the shingle) pairs.
-        out = [(-1 - ((uid >> 32) * 4099 + (uid & 0xFFFFFFFF)) % (1 << 30), uid, text[is_hot].astype(np.uint32).tobytes(), place[is_hot].astype(np.uint32).tobytes(), None, None, hot.astype("<u8").tobytes(), None, ids.tobytes(), n.astype(np.int32).tobytes(), key.tobytes())]
-        text, h = text[~is_hot], h[~is_hot]
-        order = np.argsort(at_of(h).astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
-        text, h = text[order], h[order]
+        out = [(-1 - ((uid >> 32) * 4099 + (uid & 0xFFFFFFFF)) % (1 << 30), uid, text[is_hot].astype(np.uint32).tobytes(), place[is_hot].tobytes(), None, None, hot.astype("<u8").tobytes(), None, ids.tobytes(), n.astype(np.int32).tobytes(), key.tobytes())]
+        del place
+        text = text[~is_hot]
+        h = h[~is_hot]
+        order = np.argsort((h >> U(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint32), kind="stable")
+        text = text[order]
+        h = h[order]
+        del order
         ends, hot_ends = (np.searchsorted(at, np.arange((1 << bits) + 1)) for at in (at_of(h), at_of(hot)))
         for k in np.flatnonzero(np.diff(ends) + np.diff(hot_ends)):
             p, q = slice(ends[k], ends[k + 1]), slice(hot_ends[k], hot_ends[k + 1])
@@ -118,7 +130,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
     def deal(batches):
         task, k, held, parts = TaskContext.get().partitionId(), 0, 0, []
         for b in batches:
-            for lo, hi in chunks(b.column(1)):
+            for lo, hi in chunks(b.column(1), CHUNK_BYTES):
                 text, h = distinct_shingles(b.column(1).slice(lo, hi - lo), size)
                 n, key = set_keys(text, h, hi - lo)
                 parts.append((b.column(0).slice(lo, hi - lo).to_numpy(zero_copy_only=False).astype(np.int64), n, key, text.astype(np.uint32), h))
@@ -126,6 +138,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
                 if held >= BATCH:
                     yield packed(task << 32 | k, parts)
                     k, held, parts = k + 1, 0, []
+                    trim()
         if parts:
             yield packed(task << 32 | k, parts)
 
@@ -152,6 +165,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
         return pa.Table.from_arrays(_rows(out), NAMES) if out else t.slice(0, 0)
 
     def whole(t: pa.Table) -> pa.Table:
+        trim()
         head, rows = None, []
         for r in t.to_pylist():
             if r["bucket"] < 0:
@@ -176,7 +190,7 @@ def shared_shingles(docs: DataFrame, scratch: Scratch, percent: int = PERCENT, s
         lists = [pa.ListArray.from_arrays(at, pa.array(x[order]), mask=pa.array(~enough)) for x in (tok, df)]
         return pa.Table.from_arrays([pa.array(ids), pa.array(n), cells(key), *lists], ["doc_id", "n", "key", "tok", "df"])
 
-    answered = scratch.save(docs.mapInArrow(deal, PARTS).groupBy("bucket").applyInArrow(count, PARTS), "answers")
+    answered = scratch.save(docs.mapInArrow(lean(deal), PARTS).groupBy("bucket").applyInArrow(count, PARTS), "answers")
     scratch.free()  # the dealt shingles, the largest of all shuffles
     return answered.groupBy("uid").applyInArrow(whole, "doc_id long, n int, key binary, tok array<long>, df array<int>")
 
